@@ -237,15 +237,15 @@ def format_bytes(n: Column, with_gb: bool = False) -> Column:
     if with_gb:
         return (
             F.when(F.coalesce(n, F.lit(0)) == 0, "0 B")
-            .when(n < k, _one_decimal(n.cast("double", " B")))
+            .when(n < k, _one_decimal(n.cast("double"), " B"))
             .when(n < k * k, _one_decimal(n / k, " KB"))
-            .when(n < k * k * k, _one_decimal(n / (k * k, " MB")))
-            .otherwise(_one_decimal(n / (k * k * k, " GB")))
+            .when(n < k * k * k, _one_decimal(n / (k * k), " MB"))
+            .otherwise(_one_decimal(n / (k * k * k), " GB"))
         )
     return (
         F.when(n < k, F.format_string("%d B", n.cast("long")))
         .when(n < k * k, _one_decimal(n / k, " KB"))
-        .otherwise(_one_decimal(n / (k * k, " MB")))
+        .otherwise(_one_decimal(n / (k * k), " MB"))
     )
 
 

@@ -31,7 +31,7 @@ SELECT workbook_id, sheet_id, kind, r, c,
   c = 4 AND ok % 17 = 0 AS has_comment
 FROM (
   SELECT *,
-    CASE WHEN blank AND c = 1 THEN 'string' WHEN blank THEN NULL
+    CASE WHEN blank AND c = 1 AND ok % 4 = 0 THEN 'string' WHEN blank THEN NULL
          WHEN lab AND c = 1 THEN 'string' WHEN lab THEN NULL
          WHEN head THEN 'string'
          WHEN c = 1 AND kind = 2 THEN 'number' WHEN c = 1 THEN 'string'
