@@ -1,26 +1,28 @@
 """Ordered scans that never put a whole key group into one task.
 
 A plain ``Window.partitionBy(key)`` sorts every row of a key in one task, so one
-sheet with a third of the corpus would stall the job.  Here a group is cut into
-position blocks: the window runs inside ``(key, block)`` and only one small
-summary row per block is scanned over the whole key.  Results are exact.
+page or sheet with a third of the corpus would stall the job.  Here a group is cut
+into position blocks.  The main window runs inside ``(key, block)``; afterwards one
+or two edge rows per block are brought together per key to pass values across the
+block borders.  Each helper is one straight chain of windows: the input is
+computed once, nothing is joined back, and results are exact.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BLOCK = 8192
+BEFORE = (W.unboundedPreceding, -1)
+UP_TO_HERE = (W.unboundedPreceding, 0)
 
 
-def _blocked(df: DataFrame, keys: Sequence[str], pos: str, block: int) -> tuple[DataFrame, list[str]]:
-    """Add the block number and lay the rows out by (key, block) once for all later steps."""
-    parts = [*keys, "_blk"]
-    return df.withColumn("_blk", F.floor(F.col(pos) / F.lit(block)).cast("long")), parts
+def _blocked(df: DataFrame, pos: str, block: int) -> DataFrame:
+    return df.withColumn("_blk", F.floor(F.col(pos) / F.lit(block)).cast("long"))
 
 
 def with_neighbours(
@@ -34,96 +36,62 @@ def with_neighbours(
     block: int = BLOCK,
 ) -> DataFrame:
     """Attach structs of the previous / next row of the key in ``(pos, *tie)`` order."""
-    d, parts = _blocked(df, keys, pos, block)
     order = [pos, *tie]
-    payload = F.struct(*[F.col(c) for c in cols])
-    inner = W.partitionBy(*parts).orderBy(*order)
-    outer = W.partitionBy(*keys).orderBy("_blk")
-    rank = F.struct(*[F.col(c) for c in order]) if tie else F.col(pos)
-    edge_aggs: list[Column] = []
+    inner = W.partitionBy(*keys, "_blk").orderBy(*order)
+    d = _blocked(df, pos, block).withColumn("_p", F.struct(*[F.col(c) for c in cols]))
+    d = d.withColumn("_a", F.lag("_p").over(inner)).withColumn("_z", F.lead("_p").over(inner))
+    # first and last rows of the blocks share the null group, inner rows stay in their block
+    d = d.withColumn("_g", F.when(F.col("_a").isNotNull() & F.col("_z").isNotNull(), F.col("_blk")))
+    edge = W.partitionBy(*keys, "_g").orderBy(*order)
     if prev:
-        d = d.withColumn("_p", payload)
-        edge_aggs.append(F.max_by("_p", rank).alias("_last"))
-    elif nxt:
-        d = d.withColumn("_p", payload)
+        d = d.withColumn(prev, F.coalesce("_a", F.lag("_p").over(edge)))
     if nxt:
-        edge_aggs.append(F.min_by("_p", rank).alias("_first"))
-    edges = d.groupBy(*parts).agg(*edge_aggs)
-    carried = []
-    if prev:
-        edges = edges.withColumn("_before", F.lag("_last").over(outer))
-        carried.append("_before")
-    if nxt:
-        edges = edges.withColumn("_after", F.lead("_first").over(outer))
-        carried.append("_after")
-    edges = edges.select(*parts, *carried)
-    if prev:
-        d = d.withColumn(prev, F.lag("_p").over(inner))
-    if nxt:
-        d = d.withColumn(nxt, F.lead("_p").over(inner))
-    d = d.join(edges, parts, "left")
-    if prev:
-        d = d.withColumn(prev, F.coalesce(F.col(prev), F.col("_before")))
-    if nxt:
-        d = d.withColumn(nxt, F.coalesce(F.col(nxt), F.col("_after")))
-    return d.drop("_blk", "_p", *carried)
+        d = d.withColumn(nxt, F.coalesce("_z", F.lead("_p").over(edge)))
+    return d.drop("_blk", "_p", "_a", "_z", "_g")
+
+
+def _with_carry(
+    d: DataFrame, keys: Sequence[str], order: Sequence[str], tail: Column, combine: Callable[[Column], Column]
+) -> DataFrame:
+    """Add ``_carry``: ``combine`` of the block totals ``tail`` over all earlier blocks of the key."""
+    inner = W.partitionBy(*keys, "_blk").orderBy(*order)
+    whole = W.partitionBy(*keys, "_blk")
+    d = d.withColumn("_tail", tail).withColumn("_first", F.row_number().over(inner) == 1)
+    d = d.withColumn("_g", F.when(~F.col("_first"), F.col("_blk")))
+    heads = W.partitionBy(*keys, "_g").orderBy(*order).rowsBetween(*BEFORE)
+    d = d.withColumn("_seen", combine(F.when(F.col("_first"), F.col("_tail"))).over(heads))
+    d = d.withColumn("_carry", F.max(F.when(F.col("_first"), F.col("_seen"))).over(whole))
+    return d.drop("_tail", "_first", "_g", "_seen")
 
 
 def with_segment_start(
-    df: DataFrame,
-    keys: Sequence[str],
-    pos: str,
-    flag: Column,
-    name: str = "seg",
-    block: int = BLOCK,
+    df: DataFrame, keys: Sequence[str], pos: str, flag: Column, name: str = "seg", block: int = BLOCK
 ) -> DataFrame:
     """Attach the position of the latest flagged row at or before each row (null before the first)."""
-    d, parts = _blocked(df, keys, pos, block)
-    d = d.withColumn("_mark", F.when(flag, F.col(pos)))
-    inner = W.partitionBy(*parts).orderBy(pos).rowsBetween(W.unboundedPreceding, 0)
-    outer = W.partitionBy(*keys).orderBy("_blk").rowsBetween(W.unboundedPreceding, -1)
-    tails = d.groupBy(*parts).agg(F.max("_mark").alias("_tail"))
-    tails = tails.select(*parts, F.max("_tail").over(outer).alias("_carry"))
-    d = d.withColumn("_here", F.max("_mark").over(inner)).join(tails, parts, "left")
+    d = _blocked(df, pos, block).withColumn("_mark", F.when(flag, F.col(pos)))
+    inner = W.partitionBy(*keys, "_blk").orderBy(pos).rowsBetween(*UP_TO_HERE)
+    d = d.withColumn("_here", F.max("_mark").over(inner))
+    d = _with_carry(d, keys, [pos], F.max("_mark").over(W.partitionBy(*keys, "_blk")), F.max)
     return d.withColumn(name, F.coalesce("_here", "_carry")).drop("_blk", "_mark", "_here", "_carry")
 
 
-def with_row_number(
-    df: DataFrame,
-    keys: Sequence[str],
-    pos: str,
-    name: str = "rn",
-    tie: Sequence[str] = (),
-    block: int = BLOCK,
+def with_running_sum(
+    df: DataFrame, keys: Sequence[str], pos: str, value: Column, name: str, tie: Sequence[str] = (), block: int = BLOCK
 ) -> DataFrame:
-    """Row number inside each key in ``(pos, *tie)`` order; ``pos`` is a number that grows with the order."""
-    d, parts = _blocked(df, keys, pos, block)
-    inner = W.partitionBy(*parts).orderBy(pos, *tie)
-    outer = W.partitionBy(*keys).orderBy("_blk").rowsBetween(W.unboundedPreceding, -1)
-    counts = d.groupBy(*parts).agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.select(*parts, F.coalesce(F.sum("_n").over(outer), F.lit(0)).alias("_before"))
-    d = d.withColumn("_rn", F.row_number().over(inner)).join(counts, parts, "left")
-    return d.withColumn(name, (F.col("_rn") + F.col("_before")).cast("long")).drop("_blk", "_rn", "_before")
+    """Running sum of ``value`` up to and including each row in ``(pos, *tie)`` order."""
+    order = [pos, *tie]
+    d = _blocked(df, pos, block).withColumn("_v", value)
+    d = d.withColumn("_here", F.sum("_v").over(W.partitionBy(*keys, "_blk").orderBy(*order).rowsBetween(*UP_TO_HERE)))
+    d = _with_carry(d, keys, order, F.sum("_v").over(W.partitionBy(*keys, "_blk")), F.sum)
+    return d.withColumn(name, F.col("_here") + F.coalesce("_carry", F.lit(0))).drop("_blk", "_v", "_here", "_carry")
 
 
-def with_running_sum(
-    df: DataFrame,
-    keys: Sequence[str],
-    pos: str,
-    value: Column,
-    name: str,
-    tie: Sequence[str] = (),
-    block: int = BLOCK,
+def with_row_number(
+    df: DataFrame, keys: Sequence[str], pos: str, name: str = "rn", tie: Sequence[str] = (), block: int = BLOCK
 ) -> DataFrame:
-    """Running sum of ``value`` up to and including each row."""
-    d, parts = _blocked(df, keys, pos, block)
-    d = d.withColumn("_v", value)
-    inner = W.partitionBy(*parts).orderBy(pos, *tie).rowsBetween(W.unboundedPreceding, 0)
-    outer = W.partitionBy(*keys).orderBy("_blk").rowsBetween(W.unboundedPreceding, -1)
-    sums = d.groupBy(*parts).agg(F.sum("_v").alias("_n"))
-    sums = sums.select(*parts, F.coalesce(F.sum("_n").over(outer), F.lit(0)).alias("_before"))
-    d = d.withColumn("_here", F.sum("_v").over(inner)).join(sums, parts, "left")
-    return d.withColumn(name, F.col("_here") + F.col("_before")).drop("_blk", "_v", "_here", "_before")
+    """Row number inside each key in ``(pos, *tie)`` order."""
+    d = with_running_sum(df, keys, pos, F.lit(1), name, tie, block)
+    return d.withColumn(name, F.col(name).cast("long"))
 
 
 def range_join(

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sheetloom.functions import cells as fc
+from sheetloom.functions import fixed
 from sheetloom.functions.scan import with_neighbours
 from sheetloom.operators.normalize import complex_formula, formula_category, normalize_cells
 from sheetloom.schemas import SHEET
@@ -20,39 +21,51 @@ COL = [*SHEET, "c"]
 
 
 def row_profile(cells: DataFrame, sheets: DataFrame) -> DataFrame:
-    """All per-row facts the detectors need, in one aggregation over the cells.
+    """All per-row facts the detectors need, in one hash aggregation over the cells.
 
-    The leftmost cell travels as a ``min_by`` struct, so first-column tests need
-    no join of cells with sheets; sheet bounds are joined to the row profiles.
+    The facts about the leftmost cell are packed behind its column number into one
+    BIGINT minimum: every buffer is then fixed-width, so Spark hash-aggregates
+    instead of sorting all cells, and first-column tests need no join of cells
+    with sheets.  Only text can look like a date, so numbers skip the patterns.
     """
-    n = normalize_cells(cells)
-    text, num, txt = F.col("vtext"), fc.is_number(), fc.is_text()
-    loose, strict = num | F.coalesce(fc.numeric_loose(text), F.lit(False)), num | F.coalesce(fc.numeric_strict(text), F.lit(False))
-    n = n.withColumn("_date", fc.looks_like_date(F.trim("value")))
+    txt, num = fc.is_text(), fc.is_number()
+    no = F.lit(False)
+    n = cells.filter(fc.has_content()).select(
+        *ROW, "c", num.alias("num"), txt.alias("txt"),
+        F.coalesce(fc.numeric_loose(F.col("vtext")), no).alias("loose"),
+        F.coalesce(fc.numeric_strict(F.col("vtext")), no).alias("strict"),
+        (F.length("vtext") > 3).alias("long"),
+        fc.looks_like_date(F.trim("vtext")).alias("date"),
+        fc.temporal_hits(F.col("vtext")).alias("hits"),
+        F.coalesce(F.lower("vtext").rlike("|".join(fixed.FINANCE_TERMS)), no).alias("fin"),
+    )
+    bit = lambda c, k: F.col(c).cast("long") * k
+    lead = F.col("c").cast("long") * 16 + bit("txt", 8) + bit("strict", 4) + bit("date", 2) + bit("fin", 1)
     prof = n.groupBy(*ROW).agg(
         F.count(F.lit(1)).alias("n"),
         F.min("c").alias("c1"),
         F.max("c").alias("c2"),
-        F.count_if(loose).alias("n_loose"),
-        F.count_if(strict).alias("n_strict"),
-        F.count_if(txt & ~strict).alias("n_text"),
-        F.count_if(txt & (F.length(text) > 3) & ~loose).alias("n_label"),
-        F.count_if(F.col("_date")).alias("_dates"),
-        F.sum(fc.temporal_hits(F.col("value"))).alias("n_temporal"),
-        F.min_by(F.struct(txt.alias("txt"), strict.alias("strict"), F.trim(text).alias("text"), F.col("_date").alias("date")), "c").alias("lead"),
+        F.count_if(F.col("num") | F.col("loose")).alias("n_loose"),
+        F.count_if(F.col("num") | F.col("strict")).alias("n_strict"),
+        F.count_if(F.col("txt") & ~F.col("strict")).alias("n_text"),
+        F.count_if(F.col("txt") & F.col("long") & ~F.col("loose")).alias("n_label"),
+        F.count_if("date").alias("_dates"),
+        F.sum("hits").alias("n_temporal"),
+        F.min(lead).alias("_lead"),
     )
     bounds = sheets.select(*SHEET, "min_row", "max_row", "min_col", "max_col")
     at_edge = F.col("c1") == F.col("min_col")
+    has = lambda k: F.col("_lead").bitwiseAND(F.lit(k).cast("long")) > 0
     return (
         prof.join(bounds, SHEET)
         .filter(F.col("r").between(F.col("min_row"), F.col("max_row")))
         .withColumns(
             {
-                "first_str": at_edge & F.col("lead.txt"),
-                "first_txt": at_edge & F.col("lead.txt") & ~F.col("lead.strict"),
-                "first_label": F.when(at_edge & F.col("lead.txt"), F.col("lead.text")),
+                "first_str": at_edge & has(8),
+                "first_txt": at_edge & has(8) & ~has(4),
+                "first_finance": at_edge & has(8) & has(1),
                 "n_right": F.col("n") - at_edge.cast("int"),
-                "n_date": F.col("_dates") - (at_edge & F.col("lead.date")).cast("int"),
+                "n_date": F.col("_dates") - (at_edge & has(2)).cast("int"),
                 "mostly_numeric": F.col("n_loose") > F.col("n") / 2,
                 "has_labels": F.col("n_label") > 2,
                 "mixed": (F.col("n_strict") > 0) & (F.col("n_text") > 0),
@@ -63,7 +76,7 @@ def row_profile(cells: DataFrame, sheets: DataFrame) -> DataFrame:
             }
         )
         .withColumn("density", F.col("n") / (F.col("max_col") - F.col("min_col") + 1))
-        .drop("lead", "_dates")
+        .drop("_lead", "_dates")
     )
 
 

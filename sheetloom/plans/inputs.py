@@ -12,6 +12,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sheetloom.functions.durable import durable
+
 TABLES = ["orders", "lineitem", "documents", "events", "customer", "part", "supplier", "pages", "conversations"]
 
 CELLS = """
@@ -176,6 +178,18 @@ def duck_text(name: str) -> str:
     return re.sub(r"\{explode:(\d+):(\d+)\}", lambda m: f"CAST(unnest(range({m[1]}, {int(m[2]) + 1})) AS INT)", text)
 
 
+# Derived inputs that stand for stored tables: written once per session and folder, as a corpus would be.
+STORED = {"cells", "wide", "words"}
+_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _stored(spark: SparkSession, folder: str, name: str, df: DataFrame) -> DataFrame:
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = durable(df.repartition(spark.sparkContext.defaultParallelism))
+    return _WRITTEN[key]
+
+
 class Inputs:
     """The input tables of one data folder as lazily built DataFrames."""
 
@@ -190,7 +204,8 @@ class Inputs:
                 text = spark_text(name)
                 for d in deps:
                     text = re.sub(rf"\bFROM {d}\b", "FROM {" + d + "}", text)
-                self._built[name] = self.spark.sql(_escape(text, deps), **deps)
+                df = self.spark.sql(_escape(text, deps), **deps)
+                self._built[name] = _stored(self.spark, self.folder, name, df) if name in STORED else df
             else:
                 self._built[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return self._built[name]

@@ -51,11 +51,14 @@ def compare(df, con, sql: str) -> list[str]:
         if TYPES.get(t, duck_types[c]) != duck_types[c]:
             problems.append(f"type of {c}: spark {t} duck {duck_types[c]}")
     cols = sorted(spark_types)
+    t0 = time.time()
     left = sorted(tuple(_norm(r[c]) for c in cols) for r in df.select(*cols).collect())
+    t1 = time.time()
     right = sorted(
         tuple(_norm(v) for v in r)
         for r in con.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in cols)} FROM ({sql}) q").fetchall()
     )
+    print(f"   spark {t1 - t0:.1f}s duck {time.time() - t1:.1f}s", end=" ")
     if len(left) != len(right):
         problems.append(f"rows: spark {len(left)} duck {len(right)}")
     if left != right:
