@@ -53,3 +53,72 @@ CONTENT_TYPES = {
 }
 DEFAULT_CONTENT_TYPE = "application/octet-stream"
 UPLOAD_EXTENSIONS = ["xlsx", "xlsm", "xltx", "xltm", "pdf"]
+
+# Number formats in priority order (main set), and the sets of the other extractors.
+NUMBERS_MAIN = {
+    "percentage": r"(?<!\w)\d+(?:\.\d+)?%(?!\w)",
+    "currency": r"\$\s*\d+(?:,\d{3})*(?:\.\d{2})?\b",
+    "ratio": r"\b\d+(?:\.\d+)?x\b",
+    "date_number": r"(?:FY|CY|Q[1-4]\s*)?(?:19|20)\d{2}\b",
+    "scientific_notation": r"\b\d+(?:\.\d+)?[eE][+-]?\d+\b",
+    "fraction": r"\b\d+/\d+\b",
+    "decimal": r"\b\d+\.\d+\b",
+    "integer": r"\b\d{1,3}(?:,\d{3})*\b",
+    "ordinal": r"\b\d{1,2}(?:st|nd|rd|th)\b",
+}
+NUMBER_PRIORITY = list(NUMBERS_MAIN)
+NUMBERS_LEGACY = {
+    "integer": r"\b\d{1,3}(?:,\d{3})*\b",
+    "decimal": r"\b\d+\.\d+\b",
+    "percentage": r"\b\d+(?:\.\d+)?%\b",
+    "currency": r"\$\s*\d+(?:,\d{3})*(?:\.\d{2})?\b",
+    "scientific_notation": r"\b\d+(?:\.\d+)?[eE][+-]?\d+\b",
+    "fraction": r"\b\d+/\d+\b",
+    "date_number": r"\b(?:19|20)\d{2}\b|\b\d{1,2}(?:st|nd|rd|th)\b",
+}
+NUMBERS_SIMPLE = {
+    "currency": r"\$\s*\d+(?:,\d{3})*(?:\.\d{2})?",
+    "percentage": r"\d+(?:\.\d+)?%",
+    "decimal": r"\d+\.\d+",
+    "integer": r"\b\d{1,3}(?:,\d{3})*\b",
+}
+NUMBERS_FALLBACK = {
+    "currency": r"\$\s*\d{1,3}(?:,\d{3})*(?:\.\d{2})?",
+    "percentage": r"\b\d+(?:\.\d+)?%\b",
+    "decimal": r"\b\d+\.\d+\b",
+    "scientific_notation": r"\b\d+(?:\.\d+)?[eE][+-]?\d+\b",
+    "integer": r"\b\d{1,3}(?:,\d{3})*\b",
+}
+NUMBERS_ROUTING = [
+    r"\b\d{1,3}(?:,\d{3})*\b",
+    r"\b\d+\.\d+\b",
+    r"\b\d+(?:\.\d+)?%\b",
+    r"\$\s*\d+(?:,\d{3})*(?:\.\d{2})?",
+    r"\b\d+(?:\.\d+)?[eE][+-]?\d+\b",
+]
+
+# Words that raise and lower the confidence of a number.
+BUSINESS_TERMS = [
+    "revenue", "income", "profit", "loss", "cost", "expense", "price",
+    "amount", "total", "sum", "million", "billion", "thousand",
+    "rate", "percentage", "margin", "growth", "increase", "decrease",
+]
+LAYOUT_TERMS = ["page", "section", "figure", "table", "chapter"]
+SKIP_CONTEXTS = ["page", "section", "figure", "table", "chapter", "version", "year", "date", "phone", "zip"]
+
+# Units in the order they are tried.
+UNITS = {
+    r"\b(million|mil|m)\b": "million",
+    r"\b(billion|bil|b)\b": "billion",
+    r"\b(thousand|k)\b": "thousand",
+    r"\b(dollars?|usd)\b": "dollars",
+    r"\b(cents?)\b": "cents",
+    r"\b(years?|yrs?)\b": "years",
+    r"\b(months?|mos?)\b": "months",
+    r"\b(days?)\b": "days",
+    r"\b(hours?|hrs?)\b": "hours",
+    r"\b(minutes?|mins?)\b": "minutes",
+    r"\b(seconds?|secs?)\b": "seconds",
+    r"\b(percent|percentage|%)\b": "percent",
+}
+CURRENCIES = {"$": "USD", "€": "EUR", "£": "GBP", "¥": "JPY"}

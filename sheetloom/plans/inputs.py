@@ -179,7 +179,7 @@ def duck_text(name: str) -> str:
 
 
 # Derived inputs that stand for stored tables: written once per session and folder, as a corpus would be.
-STORED = {"cells", "wide", "words"}
+STORED = {"cells", "wide", "words", "sections"}
 _WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
 
 
@@ -210,6 +210,13 @@ class Inputs:
                 self._built[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return self._built[name]
 
+    def stored(self, name: str, build) -> DataFrame:
+        """An intermediate that several queries read, written once like a stored table."""
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _WRITTEN:
+            _WRITTEN[key] = durable(build())
+        return _WRITTEN[key]
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in TEXTS or name in TABLES:
             return self.table(name)
@@ -239,4 +246,6 @@ def with_ctes(needed: list[str], body: str, extra: dict[str, tuple[str, list[str
     for n in needed:
         visit(n)
     ctes = ",\n".join(f"{n} AS ({known[n][0]})" for n in order)
+    if ctes and body.startswith("WITH "):
+        return f"WITH {ctes},\n{body[5:]}"
     return (f"WITH {ctes}\n" if ctes else "") + body

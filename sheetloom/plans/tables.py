@@ -71,7 +71,10 @@ GAPS_ORDER = ["r_gaps", "r_blank", "r_shift", "r_temp", "r_multi", "r_content",
 SHARED["detected"] = (_first_wins(DEFAULT_ORDER), DEFAULT_ORDER)
 SHARED["detected_gaps"] = (_first_wins(GAPS_ORDER), GAPS_ORDER)
 
-seq = lambda t: op.row_sequence(profiles.row_profile(t.cells, t.sheets))
+def seq(t):
+    return t.stored("seq", lambda: op.row_sequence(profiles.row_profile(t.cells, t.sheets)))
+
+
 COLS = f"{S}, method, r1, c1, r2, c2"
 
 query("table_boundary", lambda t: op.table_boundary(seq(t)), "seq", f"SELECT {R}, pr AS prev_r, gap, {BND} AS boundary FROM seq WHERE gap >= 1")
