@@ -122,3 +122,6 @@ UNITS = {
     r"\b(percent|percentage|%)\b": "percent",
 }
 CURRENCIES = {"$": "USD", "€": "EUR", "£": "GBP", "¥": "JPY"}
+
+# Substrings that mark running text in a table cell.
+SENTENCE_WORDS = ["the", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by"]

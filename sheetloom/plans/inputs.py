@@ -130,7 +130,7 @@ SELECT workbook_id, sheet_id, CASE WHEN sheet_id%11=0 THEN 'no tables in this sh
  || '", "recommended_processing": "' || CASE WHEN sheet_id%5=0 THEN 'traditional' ELSE 'ai_assisted' END
  || '"}, "tables_detected": [{"table_id": "m1", "name": "Main", "boundaries": {"start_row": ' || CAST(a AS STRING)
  || CASE WHEN sheet_id%7=0 THEN '' ELSE ', "end_row": ' || CAST(b-sheet_id%3 AS STRING) END
- || ', "start_col": 1, "end_col": 5}, "headers": {"column_headers": [{"row": ' || CAST(a AS STRING) || ', "level": 1}, {"row": ' || CAST(a+1 AS STRING)
+ || ', "start_col": 1, "end_col": 5}, "headers": {"row_headers": [{"row": ' || CAST(a AS STRING) || ', "level": 1}, {"row": ' || CAST(a+1 AS STRING)
  || ', "level": ' || CAST(1+sheet_id%2 AS STRING) || '}]}, "confidence": 0.' || CAST(sheet_id%10 AS STRING)
  || ', "complexity_indicators": ["merged_cells", "' || CASE WHEN sheet_id%2=0 THEN 'sparse_data' ELSE 'merged_cells' END || '"]}, '
  || '{"table_id": "m2", "boundaries": {"start_row": ' || CAST(a+3 AS STRING) || ', "end_row": ' || CAST(a+sheet_id%9 AS STRING)
