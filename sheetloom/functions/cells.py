@@ -83,14 +83,8 @@ def a1_col(ref: Column) -> Column:
     return F.aggregate(codes, F.lit(0), lambda acc, x: acc * 26 + F.ascii(x) - 64)
 
 
-def has_any(text: Column, words: list[str]) -> Column:
-    """Lower-cased text contains at least one of the words."""
-    return F.lower(text).rlike("|".join(words))
-
-
-def count_terms(text: Column, words: list[str]) -> Column:
-    """How many of the words occur in the lower-cased text."""
-    low = F.lower(text)
+def count_terms(low: Column, words: list[str]) -> Column:
+    """How many of the words occur in a text that is already lower-cased."""
     total = F.lit(0)
     for w in words:
         total = total + F.contains(low, F.lit(w)).cast("int")

@@ -128,7 +128,7 @@ def region_iou(model: DataFrame, other: DataFrame, block: int = 256) -> DataFram
     area = lambda r1, r2, c1, c2: (r2 - r1 + 1).cast("long") * (c2 - c1 + 1)
     own = lambda p: area(*[F.col(f"{p}_{k}") for k in ("r1", "r2", "c1", "c2")])
     shared = area(lo("r1"), hi("r2"), lo("c1"), hi("c2"))
-    return j.select(*SHEET, F.col("a_table_no").alias("model_table"), F.col("b_table_no").alias("other_table"), F.round(shared / (own("a") + own("b") - shared), 9).alias("iou"))
+    return j.select(*SHEET, F.col("a_table_no").alias("model_table"), F.col("b_table_no").alias("other_table"), (shared / (own("a") + own("b") - shared)).alias("iou"))
 
 
 def count_compare(other: DataFrame, model: DataFrame, sheets: DataFrame) -> DataFrame:
@@ -146,11 +146,11 @@ def count_compare(other: DataFrame, model: DataFrame, sheets: DataFrame) -> Data
 def boundary_summary(counts: DataFrame, iou: DataFrame) -> DataFrame:
     """Mean and maximum over all pairs (the pairs without overlap enter through the pair count) and the two bands."""
     x = F.col("iou")
-    per = iou.groupBy(*SHEET).agg(F.sum(x).alias("total"), F.max(x).alias("max_overlap"), F.count_if(x > 0.95).alias("exact_matches"), F.count_if((x > 0.5) & (x <= 0.95)).alias("significant_overlaps"))
+    per = iou.groupBy(*SHEET).agg(F.sum(x).alias("total"), F.round(F.max(x), 9).alias("max_overlap"), F.count_if(x > 0.95).alias("exact_matches"), F.count_if((x > 0.5) & (x <= 0.95)).alias("significant_overlaps"))
     pairs = F.col("traditional_count") * F.col("ai_count")
     return (
         counts.select(*SHEET, "traditional_count", "ai_count").join(per, SHEET, "left").fillna(0)
-        .withColumn("average_overlap", F.when(pairs > 0, F.round(F.col("total") / pairs, 6)).otherwise(0.0))
+        .withColumn("average_overlap", F.when(pairs > 0, F.round(F.col("total") / pairs, 9)).otherwise(0.0))
         .select(*SHEET, "average_overlap", "max_overlap", "exact_matches", "significant_overlaps")
     )
 
@@ -163,7 +163,7 @@ def best_match(counts: DataFrame, model: DataFrame, iou: DataFrame) -> DataFrame
     )
     t, a = F.col("traditional_count"), F.col("ai_count")
     return counts.select(*SHEET, "traditional_count", "ai_count").join(per, SHEET, "left").select(
-        *SHEET, F.when((t > 0) & (a > 0), F.round("mean_best", 6)).otherwise(0.0).alias("mean_best"),
+        *SHEET, F.when((t > 0) & (a > 0), F.round("mean_best", 9)).otherwise(0.0).alias("mean_best"),
         F.when((t > 0) & (a > 0), F.col("matched")).otherwise(0).alias("matched"),
         F.when((t == 0) & (a == 0), 1.0).when((t == 0) | (a == 0), 0.0).otherwise(F.round(F.col("matched") / a, 9)).alias("agreement"),
     )

@@ -57,7 +57,7 @@ def candidate_array(text: Column, patterns: dict[str, str], ignore_case: bool =
 
 
 def number_candidates(sections: DataFrame, patterns: dict[str, str] | None = None, ignore_case: bool = True) -> DataFrame:
-    found = sections.withColumn("m", F.explode(candidate_array(F.col("content"), patterns or fixed.NUMBERS_MAIN, ignore_case)))
+    found = sections.filter(F.col("content").rlike(r"\d")).withColumn("m", F.explode(candidate_array(F.col("content"), patterns or fixed.NUMBERS_MAIN, ignore_case)))
     return found.select(*sections.columns, F.col("m.fmt").alias("fmt"), F.col("m.start").alias("start"), F.col("m.text").alias("text"))
 
 
@@ -82,19 +82,20 @@ def number_value(fmt: Column, text: Column) -> Column:
 def number_context(content: Column, start: Column, text: Column, window: int = 100) -> Column:
     lo = F.greatest(start - window, F.lit(0))
     cut = F.substring(content, lo + 1, start + F.length(text) + window - lo)
-    return F.regexp_replace(F.trim(F.regexp_replace(cut, r"(?U)\s+", " ")), r"\s+", " ")
+    return F.trim(F.regexp_replace(cut, r"(?U)\s+", " "))
 
 
-def number_confidence(fmt: Column, text: Column, context: Column) -> Column:
+def number_confidence(fmt: Column, text: Column, context: Column, lowered: bool = False) -> Column:
     """Base, format bonus, business terms, layout terms - in this order, as plain double arithmetic."""
+    low = context if lowered else F.lower(context)
     bonus = (
         F.when((fmt == "currency") & text.contains("$"), 0.2)
         .when((fmt == "percentage") & text.contains("%"), 0.2)
         .when((fmt == "integer") & text.contains(","), 0.1)
         .otherwise(0.0)
     )
-    up = F.least(F.lit(0.1) * count_terms(context, fixed.BUSINESS_TERMS), F.lit(0.2))
-    down = F.least(F.lit(0.1) * count_terms(context, fixed.LAYOUT_TERMS), F.lit(0.3))
+    up = F.least(F.lit(0.1) * count_terms(low, fixed.BUSINESS_TERMS), F.lit(0.2))
+    down = F.least(F.lit(0.1) * count_terms(low, fixed.LAYOUT_TERMS), F.lit(0.3))
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(0.7) + bonus + up - down))
 
 
@@ -134,10 +135,13 @@ def resolve_overlaps(
     def placed(m: Column) -> Column:
         return F.struct(*[m[b].alias(b) for b in base], number_context(content, m["start"], m["text"], window).alias("context"))
 
+    def lowered(m: Column) -> Column:
+        return F.struct(*[m[b].alias(b) for b in (*base, "context")], F.lower(m["context"]).alias("low"))
+
     def scored(m: Column) -> Column:
         return F.struct(
             *[m[b].alias(b) for b in base], number_value(m["fmt"], m["text"]).alias("value"),
-            number_confidence(m["fmt"], m["text"], m["context"]).alias("confidence"), m["context"].alias("context"),
+            number_confidence(m["fmt"], m["text"], m["low"], lowered=True).alias("confidence"), m["context"].alias("context"),
         )
 
     kind = "array<struct<start:int,prio:int,neg_len:int,fmt:string,text:string,value:double,confidence:double,context:string>>"
@@ -150,10 +154,10 @@ def resolve_overlaps(
             F.when(keep, F.concat(a["out"], F.array(m).cast(kind))).otherwise(a["out"]).alias("out"),
         )
 
-    found = F.transform(F.transform(candidate_array(content, patterns or fixed.NUMBERS_MAIN), placed), scored)
+    found = F.transform(F.transform(F.transform(candidate_array(content, patterns or fixed.NUMBERS_MAIN), placed), lowered), scored)
     ok = F.filter(found, lambda m: m["value"].isNotNull() & (m["confidence"] >= threshold))
     kept = F.aggregate(F.sort_array(ok).cast(kind), first, step, lambda a: a["out"])
-    d = sections.withColumn("m", F.explode(kept))
+    d = sections.filter(content.rlike(r"\d")).withColumn("m", F.explode(kept))
     return d.select(*sections.columns, "m.fmt", "m.start", "m.text", "m.value", "m.confidence", "m.context")
 
 
@@ -166,7 +170,7 @@ def extract_numbers(sections: DataFrame, patterns: dict[str, str] | None = None)
 
 def numbers_simple(sections: DataFrame) -> DataFrame:
     """Four formats without overlap resolution; sections and numbers with layout context are skipped."""
-    keep = (F.length(F.trim("content")) >= 10) & (count_terms(F.col("content"), fixed.LAYOUT_TERMS) <= 2)
+    keep = (F.length(F.trim("content")) >= 10) & (count_terms(F.lower("content"), fixed.LAYOUT_TERMS) <= 2)
     d = number_candidates(sections.filter(keep), fixed.NUMBERS_SIMPLE, ignore_case=False)
     lo = F.greatest(F.col("start") - 50, F.lit(0))
     context = F.substring(F.col("content"), lo + 1, F.col("start") + F.length("text") + 50 - lo)

@@ -33,14 +33,14 @@ SHARED["rsum"] = (
 SHARED["iou"] = (
     f"""SELECT * FROM (SELECT {S}, CAST(m.idx + 1 AS BIGINT) AS model_table, d.table_no AS other_table,
  CASE WHEN greatest(start_row, r1) <= least(end_row, r2) AND greatest(start_col, c1) <= least(end_col, c2) THEN (least(end_row, r2) - greatest(start_row, r1) + 1) * (least(end_col, c2) - greatest(start_col, c1) + 1) ELSE 0 END AS sh,
- (end_row - start_row + 1) * (end_col - start_col + 1) + (r2 - r1 + 1) * (c2 - c1 + 1) AS both_area, round(sh / (both_area - sh), 9) AS iou FROM fields m JOIN detected d USING ({S})) x""", ["fields", "detected"])
+ (end_row - start_row + 1) * (end_col - start_col + 1) + (r2 - r1 + 1) * (c2 - c1 + 1) AS both_area, sh / (both_area - sh) AS iou FROM fields m JOIN detected d USING ({S})) x""", ["fields", "detected"])
 SHARED["cc"] = (
     f"""SELECT {S}, t AS traditional_count, a AS ai_count, a - t AS count_difference, round(a / greatest(t, 1), 9) AS detection_ratio, t > 0 AND a > 0 AS both_found, t > 0 AND a = 0 AS only_traditional, t = 0 AND a > 0 AS only_ai, t = 0 AND a = 0 AS neither_found FROM (
  SELECT {S}, coalesce(t, 0) AS t, coalesce(a, 0) AS a FROM sheets LEFT JOIN (SELECT {S}, count(*) AS t FROM detected GROUP BY ALL) x USING ({S}) LEFT JOIN (SELECT {S}, count(*) AS a FROM fields GROUP BY ALL) y USING ({S})) z""", ["sheets", "detected", "fields"])
 SHARED["bs"] = (
-    f"""SELECT {S}, coalesce(round(avg(iou), 6), 0) AS average_overlap, coalesce(max(iou), 0) AS max_overlap, count(*) FILTER (iou > 0.95::DOUBLE) AS exact_matches, count(*) FILTER (iou > 0.5::DOUBLE AND iou <= 0.95::DOUBLE) AS significant_overlaps FROM sheets LEFT JOIN iou USING ({S}) GROUP BY ALL""", ["sheets", "iou"])
+    f"""SELECT {S}, coalesce(round(avg(iou), 9), 0) AS average_overlap, coalesce(round(max(iou), 9), 0) AS max_overlap, count(*) FILTER (iou > 0.95::DOUBLE) AS exact_matches, count(*) FILTER (iou > 0.5::DOUBLE AND iou <= 0.95::DOUBLE) AS significant_overlaps FROM sheets LEFT JOIN iou USING ({S}) GROUP BY ALL""", ["sheets", "iou"])
 SHARED["bm"] = (
-    f"""SELECT {S}, CASE WHEN both_found THEN round(mb, 6) ELSE 0 END AS mean_best, CASE WHEN both_found THEN mt ELSE 0 END AS matched, CASE WHEN neither_found THEN 1 WHEN both_found THEN round(mt / ai_count, 9) ELSE 0::DOUBLE END AS agreement FROM cc
+    f"""SELECT {S}, CASE WHEN both_found THEN round(mb, 9) ELSE 0 END AS mean_best, CASE WHEN both_found THEN mt ELSE 0 END AS matched, CASE WHEN neither_found THEN 1 WHEN both_found THEN round(mt / ai_count, 9) ELSE 0::DOUBLE END AS agreement FROM cc
  LEFT JOIN (SELECT {S}, avg(b) AS mb, count(*) FILTER (b > 0.5::DOUBLE) AS mt FROM (SELECT {S}, model_table, max(iou) AS b FROM iou GROUP BY ALL) q GROUP BY ALL) w USING ({S})""", ["cc", "iou"])
 SHARED["cmp"] = (
     f"""SELECT cc.*, average_overlap, max_overlap, mean_best, matched, agreement, coalesce(analysis_confidence, 0) AS ai_confidence, coalesce(errors, 0) AS ai_errors, coalesce(recommended_processing, 'traditional') AS ai_recommendation,
@@ -95,7 +95,7 @@ query("model_regions", lambda t: op.model_regions(fields(t)).withColumn("header_
       f"SELECT {S}, 'ai_analysis' AS method, start_row AS r1, start_col AS c1, end_row AS r2, end_col AS c2, CAST(idx + 1 AS BIGINT) AS table_no, confidence, header_rows, data_start_row, data_end_row FROM fields")
 query("response_summary", lambda t: op.response_summary(parsed(t), fields(t), valid(t)), "rsum", "SELECT * FROM rsum")
 query("count_compare", counts, "cc", "SELECT * FROM cc")
-query("region_iou", iou, "iou", f"SELECT {S}, model_table, other_table, iou FROM iou WHERE sh > 0")
+query("region_iou", lambda t: iou(t).withColumn("iou", F.round("iou", 9)), "iou", f"SELECT {S}, model_table, other_table, round(iou, 9) AS iou FROM iou WHERE sh > 0")
 query("boundary_summary", lambda t: op.boundary_summary(counts(t), iou(t)), "bs", "SELECT * FROM bs")
 query("best_match", lambda t: op.best_match(counts(t), model(t), iou(t)), "bm", "SELECT * FROM bm")
 ALIGN = "ai_recommendation = CASE WHEN traditional_count > 0 THEN 'traditional' ELSE 'ai_assisted' END"
