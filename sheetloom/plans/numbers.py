@@ -58,7 +58,6 @@ SHARED["kept2"] = (_kept("scored2"), ["scored2"])
 
 ID = [*op.SECTION, "fmt", "start", "text"]
 C = f"{D}, fmt, start, text"
-fmt, text, start, content = F.col("fmt"), F.col("text"), F.col("start"), F.col("content")
 
 
 def cands(t):
@@ -66,16 +65,16 @@ def cands(t):
 
 
 def with_context(t):
-    return cands(t).withColumn("context", op.number_context(content, start, text))
+    return cands(t).withColumn("context", op.number_context(F.col("content"), F.col("start"), F.col("text")))
 
 
 query("number_candidates", lambda t: cands(t).select(*ID), "cand", f"SELECT {C} FROM cand")
-query("number_value", lambda t: cands(t).select(*ID, F.round(op.number_value(fmt, text), 9).alias("value")), "cand", f"SELECT {C}, round({VALUE}, 9) AS value FROM cand")
+query("number_value", lambda t: cands(t).select(*ID, F.round(op.number_value(F.col("fmt"), F.col("text")), 9).alias("value")), "cand", f"SELECT {C}, round({VALUE}, 9) AS value FROM cand")
 query("number_context", lambda t: with_context(t).select(*ID, "context"), "scored", f"SELECT {C}, context FROM scored")
-query("number_confidence", lambda t: with_context(t).select(*ID, op.number_confidence(fmt, text, F.col("context")).alias("confidence")), "scored", f"SELECT {C}, confidence FROM scored")
+query("number_confidence", lambda t: with_context(t).select(*ID, op.number_confidence(F.col("fmt"), F.col("text"), F.col("context")).alias("confidence")), "scored", f"SELECT {C}, confidence FROM scored")
 UNIT = "CASE WHEN fmt='percentage' THEN 'percent' " + " ".join(f"WHEN regexp_matches(lower(context), '{p}') THEN '{u}'" for p, u in fixed.UNITS.items()) + " END"
-query("number_unit", lambda t: with_context(t).select(*ID, op.number_unit(fmt, F.col("context")).alias("unit")), "scored", f"SELECT {C}, {UNIT} AS unit FROM scored")
-query("number_currency", lambda t: cands(t).select(*ID, op.number_currency(fmt, text).alias("currency")), "cand",
+query("number_unit", lambda t: with_context(t).select(*ID, op.number_unit(F.col("fmt"), F.col("context")).alias("unit")), "scored", f"SELECT {C}, {UNIT} AS unit FROM scored")
+query("number_currency", lambda t: cands(t).select(*ID, op.number_currency(F.col("fmt"), F.col("text")).alias("currency")), "cand",
       f"SELECT {C}, CASE WHEN fmt='currency' AND contains(text, '$') THEN 'USD' END AS currency FROM cand")
 query("number_position", lambda t: op.number_position(cands(t)).select(*ID, "line_number", "x", "y", "x_end", "y_end"), "cand sections",
       f"""SELECT {C}, CAST(ln AS INT) AS line_number, x, y, x + 6 * length(text) AS x_end, y + 12 AS y_end FROM (
