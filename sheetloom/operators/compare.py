@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetloom.operators.routing import flags
+from sheetloom.operators.routing import flags, one_row
 from sheetloom.schemas import SHEET
 
 BOUND = ["start_row", "end_row", "start_col", "end_col"]
@@ -275,7 +275,7 @@ def comparison_rollup(d: DataFrame, order: list[str], last: int = 10) -> DataFra
         F.round(F.avg((~F.col("winner").contains("ai") & F.col("winner").contains("tie")).cast("double")), 9).alias("agreement_rate"),
     )
     recent = d.orderBy(*[F.desc(c) for c in order]).limit(last).agg(F.round(F.avg("agreement_score"), 9).alias("recent_agreement"))
-    return rates.join(recent, F.lit(True))
+    return one_row(rates, recent)
 
 
 def disagreement_cases(d: DataFrame, limit: float = 0.3) -> DataFrame:

@@ -178,6 +178,14 @@ def failure_indicators(df: DataFrame) -> DataFrame:
     return df.withColumn("failure_indicators", flags(tests))
 
 
+def one_row(*parts: DataFrame) -> DataFrame:
+    """Single-row aggregates side by side, put together by a union and one more aggregate."""
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p, allowMissingColumns=True)
+    return every.agg(*[F.max(c).alias(c) for c in every.columns])
+
+
 def flags(tests: list[tuple[Column, str | Column]]) -> Column:
     """Array of the texts whose condition holds, in the given order."""
     items = [F.when(c, F.lit(t) if isinstance(t, str) else t) for c, t in tests]
@@ -234,7 +242,7 @@ def threshold_advice(decisions: DataFrame, disagreements: DataFrame, traditional
         F.count(F.lit(1)).alias("sheets"), F.count_if(F.col("decision") != "traditional_only").alias("used"),
         F.coalesce(F.sum(F.when(F.col("decision") != "traditional_only", F.col("estimated_cost"))), F.lit(0.0)).alias("cost"),
     )
-    d = n.join(disagreements.agg(F.count(F.lit(1)).alias("cases")), F.lit(True))
+    d = one_row(n, disagreements.agg(F.count(F.lit(1)).alias("cases")))
     total = F.greatest("sheets", F.lit(1))
     usage, cost = F.col("used") / total, F.col("cost") / total
 

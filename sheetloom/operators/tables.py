@@ -247,6 +247,7 @@ def detect_tables(cells: DataFrame, sheets: DataFrame, use_gaps: bool = False, g
     for rank, m in enumerate(methods):
         m = m.withColumn("_prio", F.lit(rank))
         every = m if every is None else every.unionByName(m, allowMissingColumns=True)
+    every = durable(every)  # region rows only; read twice below
     best = every.groupBy(*SHEET).agg(F.min("_prio").alias("_prio"))
     won = clip_regions(every.join(best, [*SHEET, "_prio"]).drop("_prio"), sheets)
     return with_row_number(won, SHEET, "r1", "table_no", tie=("c1",))
