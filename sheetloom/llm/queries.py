@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from sheetloom.llm.text import table
+from sheetloom.llm.text import held_out, table
 
 #: Vocabulary of op4; every worker must have the file.
 TOKENIZER = os.environ.get("BPE_VOCABULARY")
@@ -80,5 +80,21 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit
 FROM w LEFT JOIN hw ON w.doc_id = hw.doc_id LEFT JOIN hi ON w.doc_id = hi.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_bpe, op9_decontaminate)}
+def op8_language(spark, folder):
+    from sheetloom.llm.language import identify, train
+
+    docs = table(spark, folder, "documents")
+    found = identify(docs.select("doc_id", "text"), train(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def op5_toxicity(spark, folder):
+    from sheetloom.llm.toxicity import toxicity, train
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = toxicity(docs, train(docs, table(spark, folder, "labels")))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_bpe, op5_toxicity, op8_language, op9_decontaminate)}
 ORACLES = {"op1_exact_dedup": OP1, "op9_decontaminate": OP9}
