@@ -10,6 +10,7 @@ each other; its posteriors, not the labels, train a linear classifier over terms
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -39,8 +40,17 @@ def terms_of(word: str) -> list[str]:
     return [word, *(f"{word[:n]}~" for n in (4, 5, 6) if len(word) >= n)]
 
 
-def words_of(text: str | None) -> set[str]:
-    return set(WORD.findall((text or "").lower()))
+def words_of(text: str | None) -> Counter:
+    return Counter(WORD.findall((text or "").lower()))
+
+
+def features_of(text: str | None) -> set[str]:
+    """Terms of the whole text; a term of a repeated word, or of two words, stands a second time with a mark."""
+    seen: Counter = Counter()
+    for word, n in words_of(text).items():
+        for term in terms_of(word):
+            seen[term] += n
+    return {*seen, *(f"{t}+" for t, n in seen.items() if n > 1)}
 
 
 @dataclass
@@ -52,14 +62,15 @@ class Model:
     def score(self, text: str | None) -> float:
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-        found: set[str] = set()
-        for word in words_of(text):
+        found: Counter = Counter()
+        for word, n in words_of(text).items():
             hit = self.cache.get(word)
             if hit is None:
-                hit = self.cache[word] = tuple(t for t in terms_of(word) if t in self.weights)
-            if hit:
-                found.update(hit)
-        z = self.bias + sum(self.weights[t] for t in sorted(found))
+                hit = self.cache[word] = tuple(t for t in terms_of(word) if t in self.weights or f"{t}+" in self.weights)
+            for term in hit:
+                found[term] += n
+        get = self.weights.get
+        z = self.bias + sum(get(t, 0.0) + (get(f"{t}+", 0.0) if found[t] > 1 else 0.0) for t in sorted(found))
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
@@ -87,7 +98,7 @@ def label_model(votes: np.ndarray, prior: float, start: np.ndarray, rounds: int
     return posterior, np.stack([fires1, fires0]), correlation
 
 
-def logistic(rows: list[np.ndarray], target: np.ndarray, weight: np.ndarray, width: int, rounds: int = 300, ridge: float = 2e-4) -> tuple[np.ndarray, float]:
+def logistic(rows: list[np.ndarray], target: np.ndarray, weight: np.ndarray, width: int, rounds: int = 600, ridge: float = 1e-6) -> tuple[np.ndarray, float]:
     """Logistic regression on sparse 0/1 rows with soft targets (Adam, full batches)."""
     lengths = np.array([len(r) for r in rows])
     flat = np.concatenate(rows) if lengths.sum() else np.zeros(0, np.int64)
@@ -112,23 +123,28 @@ def _chosen(labels: DataFrame, rows: int) -> tuple[DataFrame, float]:
     return half[0].unionByName(half[1]), share
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, least: int = 4, top_terms: int = 6000, voters: int = 32) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, least: int = 4, significant: float = 3.5, odds_least: float = 6, top_terms: int = 4000, voters: int = 32) -> Model:
     """Fit on at most ``sample_rows`` labelled rows; held-out rows are never read for labels.
 
-    Counts cover every term of the sample.  A term needs ``least`` documents; of
-    those, ``top_terms`` with the strongest lean enter the classifier.  Without
+    Copies and near copies (same smallest word hash) count once, or the plain words
+    of a much copied toxic text would look toxic.  Counts cover every term of the sample.  A term needs ``least`` documents and a
+    lean of ``significant`` standard deviations to the toxic class with odds of at
+    least ``odds_least``, so that a language's common words stay out; the strongest
+    ``top_terms`` are the lexicon of the voters and the features of the classifier.  Without
     rows of both classes the model answers 0 for everything.
     """
     ids, share = _chosen(labels.select("doc_id", "toxic"), sample_rows)
     if not share or share == 1:
         return Model({}, -40.0)
-    sample = Stored(docs.select("doc_id", filled(F.col("text")).alias("text")).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic"), "toxicity")  # ids: sample_rows at most
+    texts = docs.select("doc_id", filled(F.col("text")).alias("text")).join(F.broadcast(ids), "doc_id")  # ids: sample_rows at most
+    smallest = F.array_min(F.transform(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.xxhash64(w)))
+    sample = Stored(texts.groupBy("toxic", smallest.alias("copies")).agg(F.min(F.struct("doc_id", "text"))["text"].alias("text")), "toxicity")
 
     def terms(batches):
         for batch in batches:
             out = {"term": [], "toxic": []}
             for r in batch.to_pylist():
-                found = {t for w in words_of(r["text"]) for t in terms_of(w)}
+                found = features_of(r["text"])
                 out["term"] += found
                 out["toxic"] += [r["toxic"]] * len(found)
             yield pa.RecordBatch.from_pydict(out, pa.schema([("term", pa.string()), ("toxic", pa.int32())]))
@@ -136,14 +152,16 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, least: in
     totals = {r["toxic"]: r["count"] for r in sample.df.groupBy("toxic").count().collect()}
     if len(totals) < 2:
         return Model({}, -40.0)
-    lean = F.log((F.col("t") + 0.5) / (totals[1] + 1.0)) - F.log((F.col("c") + 0.5) / (totals[0] + 1.0))
+    share_here = totals[1] / (totals[0] + totals[1])
+    both = F.col("t") + F.col("c")
+    lean = (F.col("t") - both * share_here) / F.sqrt(both * share_here * (1 - share_here))
+    odds = (F.col("t") + 0.5) / (totals[1] + 1.0) / ((F.col("c") + 0.5) / (totals[0] + 1.0))
     counted = (
         sample.df.mapInArrow(terms, "term string, toxic int").groupBy("term").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-        .where(F.col("t") + F.col("c") >= least).withColumn("lean", lean).orderBy(F.desc(F.abs("lean") * F.sqrt(F.col("t") + F.col("c"))), "term").limit(top_terms).collect()
+        .where((both >= least) & (lean >= significant) & (odds >= odds_least)).withColumn("lean", lean).orderBy(F.desc("lean"), "term").limit(top_terms).collect()
     )  # bounded by top_terms
-    lexicon = [r.term for r in sorted(counted, key=lambda r: (-r.lean, r.term)) if r.lean > 1.5]
     vocabulary = {r.term: i for i, r in enumerate(counted)}
-    voter_of = {vocabulary[t]: k % voters for k, t in enumerate(lexicon)}
+    voter_of = {vocabulary[t]: k % voters for k, t in enumerate(vocabulary)}
     names = list(PATTERNS)
 
     def features(batches):
@@ -151,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, least: in
             out = {"toxic": [], "terms": [], "patterns": []}
             for r in batch.to_pylist():
                 out["toxic"].append(r["toxic"])
-                out["terms"].append(np.array(sorted({vocabulary[t] for w in words_of(r["text"]) for t in terms_of(w) if t in vocabulary}), np.int32).tobytes())
+                out["terms"].append(np.array(sorted(vocabulary[t] for t in features_of(r["text"]) if t in vocabulary), np.int32).tobytes())
                 out["patterns"].append(bytes(bool(PATTERNS[n].search(r["text"])) for n in names))
             yield pa.RecordBatch.from_pydict(out, pa.schema([("toxic", pa.int32()), ("terms", pa.binary()), ("patterns", pa.binary())]))
 
@@ -169,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, least: in
     posterior, _, _ = label_model(votes, float(truth.mean()), truth)
     weight = np.where(truth == 1, share / max(truth.mean(), 1e-9), (1 - share) / max(1 - truth.mean(), 1e-9))
     theta, bias = logistic(rows, posterior, weight, len(counted))
-    return Model({t: float(theta[i]) for t, i in vocabulary.items() if abs(theta[i]) > 1e-3}, bias)
+    return Model({t: float(theta[i]) for t, i in vocabulary.items()}, bias)
 
 
 def toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
