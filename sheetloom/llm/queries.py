@@ -96,5 +96,11 @@ def op5_toxicity(spark, folder):
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_bpe, op5_toxicity, op8_language, op9_decontaminate)}
+def op3_simhash(spark, folder):
+    from sheetloom.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_simhash, op4_bpe, op5_toxicity, op8_language, op9_decontaminate)}
 ORACLES = {"op1_exact_dedup": OP1, "op9_decontaminate": OP9}
