@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from sheetloom.llm.text import held_out, table
+from sheetloom.llm.text import filled, held_out, table
 
 #: Vocabulary of op4; every worker must have the file.
 TOKENIZER = os.environ.get("BPE_VOCABULARY")
@@ -99,8 +99,35 @@ def op5_toxicity(spark, folder):
 def op3_simhash(spark, folder):
     from sheetloom.llm.simhash import near_duplicates
 
-    return near_duplicates(table(spark, folder, "documents"))
+    return near_duplicates(table(spark, folder, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_simhash, op4_bpe, op5_toxicity, op8_language, op9_decontaminate)}
-ORACLES = {"op1_exact_dedup": OP1, "op9_decontaminate": OP9}
+def op10_line_dedup(spark, folder):
+    from sheetloom.llm.line_dedup import line_dedup
+
+    found = line_dedup(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        "n_lines",
+        F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + (r["end"] - r["start"])).alias("n_removed"),
+        F.size("runs").cast("long").alias("n_runs"),
+        F.sha2(filled(F.col("text")).cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
+# Runs of two lines: a window over the text of each line pair instead of names and doubling.
+OP10 = """
+WITH l AS MATERIALIZED (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS i FROM documents),
+p AS (SELECT doc_id, i, line, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM l),
+q AS (SELECT doc_id, i, row_number() OVER (PARTITION BY line, nxt ORDER BY doc_id, i) AS copy FROM p WHERE nxt IS NOT NULL),
+r AS MATERIALIZED (SELECT DISTINCT doc_id, i + k AS i FROM q, (VALUES (0), (1)) AS o(k) WHERE copy > 1),
+g AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM r),
+s AS (SELECT doc_id, count(*) AS n_removed, count(DISTINCT island) AS n_runs FROM g GROUP BY doc_id),
+t AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE r.i IS NULL) AS kept, count(*) AS n_lines
+      FROM l LEFT JOIN r ON l.doc_id = r.doc_id AND l.i = r.i GROUP BY l.doc_id)
+SELECT t.doc_id, n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs, sha256(coalesce(kept, '')) AS kept_sha256
+FROM t LEFT JOIN s ON t.doc_id = s.doc_id
+"""
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_simhash, op4_bpe, op5_toxicity, op8_language, op9_decontaminate, op10_line_dedup)}
+ORACLES = {"op1_exact_dedup": OP1, "op9_decontaminate": OP9, "op10_line_dedup": OP10}

@@ -135,22 +135,48 @@ def links(prints: DataFrame) -> DataFrame:
     return packed.groupBy("part").applyInArrow(_meet, "a long, b long")
 
 
+#: Stands for a null doc_id: it comes after every other.
+LAST = (1 << 63) - 1
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """Append __id and __key, which name a document: its doc_id and the hash of its text."""
+    return docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "__key": F.xxhash64(filled(F.col("text")))})
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fingerprint as 16 hex digits, component_id) of every document of (doc_id, text).
+    """One row per document of (doc_id, text): doc_id, fingerprint (16 hex digits), component_id, kept, __id, __key.
 
     component_id is the smallest doc_id reachable over fingerprints at RADIUS or
-    fewer bits.  Null, empty and wordless texts have fingerprint zero and are
-    linked like any other.  Repeated rows give repeated, equal answers; a null
-    doc_id never becomes a component_id unless nothing else is there.
+    fewer bits; ``kept`` marks that one document of each component.  Null, empty and
+    wordless texts have fingerprint zero and are linked like any other.  Rows that
+    repeat doc_id and text are one document and get the same answer.  A null doc_id
+    comes after every other and is a null component_id where there is nothing else.
+    An empty table gives no rows; other columns are ignored.
     """
-    prints = Stored(with_fingerprint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled(F.col("text")).alias("text")), "text", shingle), "prints")
-    least = Stored(prints.df.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "distinct")
+    wanted = keyed(docs.select("doc_id", "text")).select("__id", "__key", filled(F.col("text")).alias("text"))
+    prints = Stored(with_fingerprint(wanted, "text", shingle), "prints")
+    least = Stored(prints.df.groupBy("fingerprint").agg(F.min(F.struct("__id", "__key")).alias("least")), "distinct")
     found = Stored(links(least.df).distinct(), "links")
     labels = components(found.df)
     # A fingerprint without links is its own component.
     roots = Stored(least.df.join(labels, least.df["fingerprint"] == labels["vertex"], "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")), "roots")
-    smallest = roots.df.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = Stored(roots.df.join(smallest, "root").select("fingerprint", "component_id"), "components")
+    smallest = roots.df.groupBy("root").agg(F.min("least").alias("first"))
+    by_print = Stored(roots.df.join(smallest, "root").select("fingerprint", "first"), "components")
     for done in (least, found, roots):
         done.drop()
-    return prints.df.join(by_print.df, "fingerprint").select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+    real = lambda c: F.when(c != LAST, c)
+    return prints.df.join(by_print.df, "fingerprint").select(
+        real(F.col("__id")).alias("doc_id"),
+        F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"),
+        real(F.col("first.__id")).alias("component_id"),
+        ((F.col("first.__id") == F.col("__id")) & (F.col("first.__key") == F.col("__key"))).alias("kept"),
+        "__id",
+        "__key",
+    )
+
+
+def without_near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """One document of each component, with all its columns."""
+    kept = Stored(near_duplicates(docs, shingle).where("kept").select("__id", "__key").distinct(), "kept")
+    return keyed(docs).join(kept.df, ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"]).drop("__id", "__key")
