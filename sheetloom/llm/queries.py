@@ -129,5 +129,15 @@ SELECT t.doc_id, n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs,
 FROM t LEFT JOIN s ON t.doc_id = s.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_simhash, op4_bpe, op5_toxicity, op8_language, op9_decontaminate, op10_line_dedup)}
+def op6_pii(spark, folder):
+    from sheetloom.llm.pii import KINDS, listed, personal_data
+
+    found = personal_data(table(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_simhash, op4_bpe, op5_toxicity, op6_pii, op8_language, op9_decontaminate, op10_line_dedup)}
 ORACLES = {"op1_exact_dedup": OP1, "op9_decontaminate": OP9, "op10_line_dedup": OP10}
