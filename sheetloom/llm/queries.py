@@ -139,5 +139,13 @@ def op6_pii(spark, folder):
     return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_simhash, op4_bpe, op5_toxicity, op6_pii, op8_language, op9_decontaminate, op10_line_dedup)}
+def op7_substring_dedup(spark, folder):
+    from sheetloom.llm.substring_dedup import substring_dedup
+
+    found = substring_dedup(table(spark, folder, "documents").select("doc_id", "text"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]))
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_simhash, op4_bpe, op5_toxicity, op6_pii, op7_substring_dedup, op8_language, op9_decontaminate, op10_line_dedup)}
 ORACLES = {"op1_exact_dedup": OP1, "op9_decontaminate": OP9, "op10_line_dedup": OP10}
