@@ -147,5 +147,11 @@ def op7_substring_dedup(spark, folder):
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_simhash, op4_bpe, op5_toxicity, op6_pii, op7_substring_dedup, op8_language, op9_decontaminate, op10_line_dedup)}
+def op2_lm_scoring(spark, folder):
+    from sheetloom.llm.ngram_score import ngram_scores
+
+    return ngram_scores(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_lm_scoring, op3_simhash, op4_bpe, op5_toxicity, op6_pii, op7_substring_dedup, op8_language, op9_decontaminate, op10_line_dedup)}
 ORACLES = {"op1_exact_dedup": OP1, "op9_decontaminate": OP9, "op10_line_dedup": OP10}
