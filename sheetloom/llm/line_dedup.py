@@ -85,7 +85,7 @@ def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     )
     deleted = Stored(islands.select("__id", "__key", runs.alias("__runs")), "runs")
     starts.drop()
-    joined = _named(docs.drop("n_lines", "runs")).join(deleted.df, ["__id", "__key"], "left")
+    joined = _named(docs.drop("n_lines", "runs")).join(deleted.df.hint("merge"), ["__id", "__key"], "left")
     empty = F.expr("CAST(array() AS array<struct<start:bigint,end:bigint>>)")
     joined = joined.withColumns({"__lines": F.split(filled(F.col("text")), "\n", -1), "__runs": F.coalesce("__runs", empty)})
     edges = F.arrays_zip(
