@@ -179,4 +179,4 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 def without_near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """One document of each component, with all its columns."""
     kept = Stored(near_duplicates(docs, shingle).where("kept").select("__id", "__key").distinct(), "kept")
-    return keyed(docs).join(kept.df, ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"]).drop("__id", "__key")
+    return keyed(docs).join(kept.df.hint("merge"), ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"]).drop("__id", "__key")

@@ -180,7 +180,7 @@ def repeated_starts(docs: DataFrame, length: int) -> Stored:
     mixed = Stored(classes.df.groupBy("gram").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 AND least = 1").select("gram"), "mixed")
     whole = rows.df.join(classes.df.where("n > 1").select("gram", "stretch"), ["gram", "stretch"]).select("k1", "k2", "lo", "hi").distinct()
     asked = Stored(classes.df.join(mixed.df, "gram").groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi", "n")).alias("wanted")), "asked")
-    here = texts.join(asked.df.withColumnsRenamed({"k1": "__k1", "k2": "__k2"}), DOC).select(*DOC, "bytes", "wanted")
+    here = texts.join(asked.df.withColumnsRenamed({"k1": "__k1", "k2": "__k2"}).hint("merge"), DOC).select(*DOC, "bytes", "wanted")
     windows = Stored(here.mapInArrow(_window_rows(length), "w1 long, w2 long, k1 long, k2 long, p long, single boolean"), "windows")
     place = F.xxhash64("k1", "k2", "p")
     twice = Stored(windows.df.groupBy("w1", "w2").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("w1", "w2"), "twice")
@@ -206,7 +206,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         raise ValueError(f"length must be from {LONG} to {2 * LONG}")
     rest = docs.drop("n_bytes", "removed", "kept")
     found = repeated_starts(docs.select("text"), length)
-    both = _keyed(rest).join(found.df, DOC, "left").withColumn("__bytes", filled(F.col("text")).cast("binary")).drop(*DOC)
+    both = _keyed(rest).join(found.df.hint("merge"), DOC, "left").withColumn("__bytes", filled(F.col("text")).cast("binary")).drop(*DOC)
 
     def run(batches):
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
