@@ -24,8 +24,11 @@ def durable(df: DataFrame) -> DataFrame:
     """The same rows read back from a Parquet table in the shared folder.
 
     Unlike cached blocks the copy survives lost executors, and later branches
-    still get column pruning and pushed filters.
+    still get column pruning and pushed filters.  It is deleted when the driver ends.
     """
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

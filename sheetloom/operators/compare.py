@@ -24,7 +24,8 @@ def extract_json_block(responses: DataFrame) -> DataFrame:
     braces = F.regexp_extract("response_text", r"(?s)(\{.*\})", 1)
     block = F.coalesce(F.nullif(fenced, F.lit("")), F.nullif(braces, F.lit("")))
     d = responses.withColumn("p", F.from_json(block, RESPONSE_SCHEMA))
-    ok = F.col("p").isNotNull() & (F.col("p.tables_detected").isNotNull() | F.col("p.sheet_analysis").isNotNull() | F.col("p.analysis_confidence").isNotNull())
+    ok = F.try_parse_json(block).isNotNull()  # any readable JSON is a success, whatever keys it has
+    d = d.withColumn("p", F.when(ok, F.col("p")))
     sheet = F.col("p.sheet_analysis")
     return d.select(
         *SHEET,
@@ -78,11 +79,15 @@ def parsed_table_fields(valid: DataFrame) -> DataFrame:
 
 def response_complexity(parsed: DataFrame, fields: DataFrame) -> DataFrame:
     per = fields.groupBy(*SHEET).agg(
-        F.count(F.lit(1)).alias("tables"), F.count_if(F.col("header_levels") > 1).alias("multi"), F.count_if(F.col("total_cells") > 1000).alias("large")
+        F.count(F.lit(1)).alias("tables"), F.count_if(F.col("header_levels") > 1).alias("multi"), F.count_if(F.col("total_cells") > 1000).alias("large"),
+        F.min(F.when(F.col("header_levels") > 1, F.col("idx"))).alias("first_multi"), F.min(F.when(F.col("total_cells") > 1000, F.col("idx"))).alias("first_large"),
     )
-    seen = fields.select(*SHEET, F.explode("indicators").alias("i")).distinct().groupBy(*SHEET).agg(F.count(F.lit(1)).alias("kinds"), F.bool_or(F.col("i") == "multi_level_headers").alias("named"))
-    d = parsed.select(*SHEET, "structure_complexity").join(per, SHEET).join(seen, SHEET, "left").fillna(0, ["kinds"])
-    new = F.col("kinds") - F.when(F.coalesce("named", F.lit(False)) & (F.col("multi") > 0), 1).otherwise(0)
+    seen = fields.select(*SHEET, "idx", F.explode("indicators").alias("i")).groupBy(*SHEET, "i").agg(F.min("idx").alias("at"))
+    # An indicator that the tables so far have already shown counts no more: headers of a table come before its indicators, its size after.
+    known = F.when(F.col("i") == "multi_level_headers", F.col("at") >= F.col("first_multi")).when(F.col("i") == "large_table", F.col("at") > F.col("first_large"))
+    fresh = seen.join(per.select(*SHEET, "first_multi", "first_large"), SHEET).groupBy(*SHEET).agg(F.count_if(~F.coalesce(known, F.lit(False))).alias("new"))
+    d = parsed.select(*SHEET, "structure_complexity").join(per, SHEET).join(fresh, SHEET, "left").fillna(0, ["new"])
+    new = F.col("new")
     structure = F.when(F.col("structure_complexity") == "complex", 0.15).when(F.col("structure_complexity") == "moderate", 0.08).otherwise(0.0)
     s = F.round(F.col("multi") * 0.1 + new * 0.05 + F.col("large") * 0.05 + structure + F.when(F.col("tables") > 3, 0.1).otherwise(0.0), 9)
     rest = parsed.select(*SHEET).join(per.select(*SHEET), SHEET, "left_anti").select(*SHEET, F.lit(0.0).alias("score"), F.lit("simple").alias("level"))

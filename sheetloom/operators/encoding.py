@@ -91,7 +91,9 @@ def row_pattern_stats(runs: DataFrame, min_stored: int = 10) -> DataFrame:
 
 
 def _quoted(c: Column) -> Column:
-    return F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('\\"')), F.lit('"'))
+    """JSON string with all escapes; null stays null."""
+    listed = F.to_json(F.array(c.cast("string")))
+    return F.when(c.isNotNull(), F.substring(listed, F.lit(2), F.length(listed) - 2))
 
 
 def json_value() -> Column:

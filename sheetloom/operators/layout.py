@@ -205,12 +205,12 @@ def table_valid(cells: DataFrame, confidence: DataFrame | None = None, threshold
     return per.withColumn("valid", ok).select(*key, "rows", "cols", "valid")
 
 
-def tables_per_page_cap(found: DataFrame, cap: int = 10) -> DataFrame:
-    """Per page the first strategy that found anything, and its first ``cap`` tables."""
+def tables_per_page_cap(found: DataFrame, cap: int | None = None) -> DataFrame:
+    """Per page the first strategy that found anything and its tables with their rank; only the first ``cap`` if given."""
     best = found.groupBy(*PAGE).agg(F.min("strategy").alias("strategy"))
     w = W.partitionBy(*PAGE).orderBy("table_no")
     won = found.join(best, [*PAGE, "strategy"]).withColumn("rank", F.row_number().over(w))
-    return won.filter(F.col("rank") <= cap)
+    return won if cap is None else won.filter(F.col("rank") <= cap)
 
 
 def letter(c: Column) -> Column:

@@ -137,26 +137,25 @@ def column_types(cells: DataFrame) -> DataFrame:
     )
 
 
-def column_inconsistency(cells: DataFrame, sheets: DataFrame) -> DataFrame:
-    """Sheet means of column inconsistency: over all columns, and over the first twenty only."""
+def column_inconsistency(cells: DataFrame, sheets: DataFrame, first: int | None = None) -> DataFrame:
+    """Sheet means of column inconsistency: over all columns, and over the ``first`` columns of a sheet if given."""
     cols = column_types(cells).filter(F.col("n") > 1).join(sheets.select(*SHEET, "min_col"), SHEET)
-    early = F.col("c") < F.col("min_col") + 20
+    early = F.lit(True) if first is None else F.col("c") < F.col("min_col") + first
     x = F.col("inconsistency")
     return cols.groupBy(*SHEET).agg(
         F.count(F.lit(1)).alias("columns"),
         F.round(F.least(F.avg(x), F.lit(1.0)), 9).alias("mean_inconsistency"),
-        F.round(F.coalesce(F.avg(F.when(early, x)), F.lit(0.0)), 9).alias("mean_first20"),
-        F.count_if(early & (x > 0.3)).alias("high_first20"),
+        F.round(F.coalesce(F.avg(F.when(early, x)), F.lit(0.0)), 9).alias("mean_early"),
+        F.count_if(early & (x > 0.3)).alias("high_early"),
     )
 
 
 def _axis_gaps(cells: DataFrame) -> DataFrame:
     """Gaps of more than one between rows / columns that hold any non-null value."""
-    pairs = F.array(
-        F.struct(F.lit("row").alias("axis"), F.col("r").alias("position")),
-        F.struct(F.lit("col").alias("axis"), F.col("c").alias("position")),
-    )
-    used = cells.filter(python_type().isNotNull()).select(*SHEET, F.inline(pairs)).distinct()
+    cells = cells.filter(python_type().isNotNull())
+    rows = cells.groupBy(*ROW).agg(F.lit("row").alias("axis")).withColumnRenamed("r", "position")
+    cols = cells.groupBy(*SHEET, "c").agg(F.lit("col").alias("axis")).withColumnRenamed("c", "position")
+    used = rows.unionByName(cols).select(*SHEET, "axis", "position")
     seen = with_neighbours(used, [*SHEET, "axis"], "position", ["position"])
     return seen.withColumn("gap", F.col("position") - F.col("prev.position") - 1).filter(F.col("gap") > 1)
 
@@ -213,35 +212,28 @@ def _truthy() -> Column:
     )
 
 
-def header_levels(cells: DataFrame, sheets: DataFrame) -> DataFrame:
-    """Highest of rows 1-5 that is mostly text, and the gap share over those rows (typed values)."""
-    rows = cells.filter(F.col("r").between(1, 5)).groupBy(*ROW).agg(
+def header_levels(cells: DataFrame, sheets: DataFrame, head: int | None = None) -> DataFrame:
+    """Highest row (of the first ``head``, if given) that is mostly text, and the gap share over the rows up to it (typed values)."""
+    top = F.col("r") >= 1 if head is None else F.col("r").between(1, head)
+    rows = cells.filter(top).groupBy(*ROW).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(fc.is_text()).alias("texts"), F.count_if(_truthy()).alias("filled")
     )
     level = F.when(F.col("texts") / F.col("n") > 0.7, F.col("r"))
-    per = rows.groupBy(*SHEET).agg(
-        F.greatest(F.lit(1), F.coalesce(F.max(level), F.lit(1))).alias("levels"),
-        F.map_from_entries(F.collect_list(F.struct("r", "filled"))).alias("filled"),
-    )
+    levels = rows.groupBy(*SHEET).agg(F.greatest(F.lit(1), F.coalesce(F.max(level), F.lit(1))).alias("levels"))
+    above = rows.join(levels, SHEET).filter(F.col("r") <= F.col("levels")).groupBy(*SHEET).agg(F.sum("filled").alias("filled"))
     width = (F.col("max_col") - F.col("min_col") + 1).cast("double")
-    gap = F.aggregate(
-        F.sequence(F.lit(1), F.col("levels")),
-        F.lit(0.0),
-        lambda acc, r: acc + (width - F.coalesce(F.col("filled")[r], F.lit(0))) / width * 0.1,
-    )
+    gap = F.col("levels") * 0.1 - F.coalesce("filled", F.lit(0)) / width * 0.1
     return (
-        sheets.join(per, SHEET, "left")
+        sheets.join(levels, SHEET, "left").join(above, SHEET, "left")
         .withColumn("levels", F.coalesce("levels", F.lit(1)))
-        .withColumn("filled", F.coalesce("filled", F.create_map().cast("map<int,bigint>")))
         .select(*SHEET, F.col("levels").alias("header_levels"), F.round(F.least(gap, F.lit(1.0)), 9).alias("inconsistency"))
     )
 
 
-def header_levels_meta(cells: DataFrame, sheets: DataFrame) -> DataFrame:
-    """The metadata form: every non-empty row of the first ten counts as a level."""
-    rows = cells.filter(F.col("r").between(1, 10)).groupBy(*ROW).agg(
-        F.count(F.lit(1)).alias("present"), F.count(python_type()).alias("valued")
-    )
+def header_levels_meta(cells: DataFrame, sheets: DataFrame, head: int | None = None) -> DataFrame:
+    """The metadata form: every non-empty row (of the first ``head``, if given) counts as a level."""
+    top = F.col("r") >= 1 if head is None else F.col("r").between(1, head)
+    rows = cells.filter(top).groupBy(*ROW).agg(F.count(F.lit(1)).alias("present"), F.count(python_type()).alias("valued"))
     width = F.col("max_col") - F.col("min_col") + 1
     joined = rows.filter(F.col("valued") > 0).join(sheets.select(*SHEET, "min_col", "max_col"), SHEET)
     return joined.groupBy(*SHEET).agg(

@@ -69,19 +69,21 @@ def native_targets(metrics: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def merge_tables(native: DataFrame, model: DataFrame) -> DataFrame:
-    """Model tables, and native tables of the documents without any model table."""
-    kept = native.join(model.select("doc_id").distinct(), "doc_id", "left_anti")
-    return kept.withColumn("origin", F.lit("native")).unionByName(model.withColumn("origin", F.lit("model")), allowMissingColumns=True)
+    """Native and model tables together; ``native_targets`` has decided where native tables are looked for."""
+    return native.withColumn("origin", F.lit("native")).unionByName(model.withColumn("origin", F.lit("model")), allowMissingColumns=True)
 
 
-def group_payload(pages: DataFrame, groups: DataFrame, max_chars: int = 2000) -> DataFrame:
-    """Ordered (page, text) array of each group (at most five pages) with words and the length of the cut section texts."""
+def group_payload(pages: DataFrame, groups: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Ordered (page, text) array of each group (at most five pages) with words and the length of the section texts.
+
+    ``max_chars`` cuts every section text for its length, if given.
+    """
     d = pages.join(grouped_pages(groups), PAGE)
     item = F.struct((F.col("page_no") + 1).alias("page_number"), F.col("content").alias("text"))
     return d.groupBy("doc_id", "first_page").agg(
         F.sort_array(F.collect_list(item)).alias("payload"),
         F.sum(word_count(F.col("content"))).alias("word_count"),
-        F.sum(F.length(F.substring("content", 1, max_chars))).alias("section_chars"),
+        F.sum(F.length("content") if max_chars is None else F.length(F.substring("content", 1, max_chars))).alias("section_chars"),
     )
 
 
@@ -152,7 +154,7 @@ def complexity_metrics_meta(facts: DataFrame) -> DataFrame:
             {
                 "merged_cell_complexity": merged, "header_complexity": _header_part(),
                 "sparsity_complexity": _sparse_part() + F.when(F.col("clustered"), 0.05).otherwise(0.0),
-                "column_inconsistency": F.col("mean_first20") + capped(F.col("high_first20") * 0.02, 0.05),
+                "column_inconsistency": F.col("mean_early") + capped(F.col("high_early") * 0.02, 0.05),
                 "formula_complexity": capped(F.col("formula_ratio") * 0.5, 0.05) + capped(F.col("complex_ratio") * 0.05, 0.05),
             }
         )
@@ -208,32 +210,37 @@ def routing_decision(df: DataFrame, available: bool = True, traditional_max: flo
     return df.withColumn("estimated_cost", F.round(cost, 9)).withColumn("decision", choice)
 
 
-def sheet_text(cells: DataFrame, max_rows: int = 100) -> DataFrame:
-    """First rows of each sheet as prompt lines, with a note on how many rows follow.
+def sheet_text(cells: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Prompt lines of each sheet, one row per line in order of ``r``; a sheet is never gathered.
 
-    Row texts are built per row; of a sheet at most ``max_rows`` lines are joined
-    (``row_number() <= k`` is limited per task before the shuffle).
+    With ``max_rows`` only that many rows of a sheet are kept (limited per task before
+    the shuffle), and a last line tells how many follow.
     """
     from sheetloom.functions.cells import value_text
 
     key = ["workbook_id", "sheet_id"]
     item = F.struct("c", F.concat(F.lit("Col"), F.col("c").cast("string"), F.lit(":"), F.coalesce(value_text(), F.lit("None"))).alias("t"))
-    rows = cells.select(*key, "r").distinct()
-    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("total"))
-    first = rows.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy("r"))).filter(F.col("_n") <= max_rows).drop("_n")
-    lines = cells.join(first, [*key, "r"], "left_semi").groupBy(*key, "r").agg(
+    if max_rows is not None:
+        rows = cells.select(*key, "r").distinct()
+        counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("total"), F.max("r").alias("r"))
+        first = rows.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy("r"))).filter(F.col("_n") <= max_rows).drop("_n")
+        cells = cells.join(first, [*key, "r"], "left_semi")
+    lines = cells.groupBy(*key, "r").agg(
         F.concat(F.lit("Row "), F.col("r").cast("string"), F.lit(": "), F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["t"]), ", ")).alias("line")
     )
-    body = lines.groupBy(*key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "line"))), lambda x: x["line"]), "\n").alias("body"))
-    more = F.when(F.col("total") > max_rows, F.concat(F.lit("\n... ("), (F.col("total") - max_rows).cast("string"), F.lit(" more rows truncated)")))
-    return body.join(counts, key).select(*key, F.concat("body", F.coalesce(more, F.lit(""))).alias("text"))
+    if max_rows is None:
+        return lines
+    more = F.concat(F.lit("... ("), (F.col("total") - max_rows).cast("string"), F.lit(" more rows truncated)"))
+    return lines.unionByName(counts.filter(F.col("total") > max_rows).select(*key, "r", more.alias("line")))
 
 
-def token_cost(df: DataFrame, text: str = "text") -> DataFrame:
-    prompt = (F.floor(F.length(text) / 4) + 1000).cast("long")
-    return df.withColumn("prompt_tokens", prompt).withColumn("completion_tokens", F.lit(2000)).withColumn(
+def token_cost(lines: DataFrame) -> DataFrame:
+    """Tokens and cost of each sheet's prompt: its lines joined by line breaks."""
+    size = lines.groupBy("workbook_id", "sheet_id").agg((F.sum(F.length("line") + 1) - 1).alias("size"))
+    prompt = (F.floor(F.col("size") / 4) + 1000).cast("long")
+    return size.withColumn("prompt_tokens", prompt).withColumn("completion_tokens", F.lit(2000)).withColumn(
         "cost_usd", F.round(prompt / 1000 * 0.003 + F.lit(2000) / 1000 * 0.015, 9)
-    )
+    ).drop("size")
 
 
 def threshold_advice(decisions: DataFrame, disagreements: DataFrame, traditional_max: float = 0.3, dual_min: float = 0.3, budget: float = 0.10) -> DataFrame:

@@ -85,22 +85,23 @@ def regions_blank_rows(seq: DataFrame) -> DataFrame:
     return _regions(seg.join(per, SHEET), "blank_row_separation", "seg", "ca", end, "cb")
 
 
-def regions_temporal(seq: DataFrame, head: int = 5) -> DataFrame:
-    """From each date header among the first rows to the next date row or two-row gap."""
-    limit = F.col("min_row") + head - 1
-    early = F.col("r") <= limit
-    stop = F.col("temporal") | F.coalesce(F.col("gap") >= 2, F.lit(False))
-    at = F.struct("r", "prev_r")
-    per = seq.groupBy(*SHEET, *BOUNDS).agg(
-        F.collect_list(F.when(early & F.col("temporal"), F.col("r"))).alias("heads"),
-        F.collect_list(F.when(early & stop, at)).alias("near"),
-        F.min(F.when(~early & stop, at)).alias("far"),
-        F.max("r").alias("last"),
-    )
-    d = per.withColumn("h", F.explode("heads"))
-    hit = F.coalesce(F.array_min(F.filter("near", lambda x: x["r"] > F.col("h"))), F.col("far"))
-    end = F.coalesce(hit["prev_r"], F.col("last"))
-    return _regions(d.withColumn("end", end).filter(F.col("end") > F.col("h")), "temporal_headers", "h", "min_col", "end", "max_col")
+def _with_end(seq: DataFrame, stop: Column) -> DataFrame:
+    """Attach ``end``: the last data row before the next stop row after each row, else the last data row.
+
+    The end rows are those whose next row is a stop; a reverse block scan finds the
+    nearest one at or after each row, so no sheet is gathered.
+    """
+    d = with_neighbours(seq.withColumn("_halt", stop), SHEET, "r", ["r", "_halt"], prev=None, nxt="_nxt").withColumn("_neg", -F.col("r"))
+    d = with_segment_start(d, SHEET, "_neg", F.coalesce(F.col("_nxt._halt"), F.lit(True)), "_end")
+    return d.withColumn("end", (-F.col("_end")).cast("int")).drop("_halt", "_nxt", "_neg", "_end")
+
+
+def regions_temporal(seq: DataFrame, head: int | None = None) -> DataFrame:
+    """From each date header (of the first ``head`` rows, if given) to the next date row or two-row gap."""
+    d = _with_end(seq, F.col("temporal") | F.coalesce(F.col("gap") >= 2, F.lit(False))).filter(F.col("temporal") & (F.col("end") > F.col("r")))
+    if head is not None:
+        d = d.filter(F.col("r") < F.col("min_row") + head)
+    return _regions(d, "temporal_headers", "r", "min_col", "end", "max_col")
 
 
 def regions_content(seq: DataFrame) -> DataFrame:
@@ -108,40 +109,25 @@ def regions_content(seq: DataFrame) -> DataFrame:
     return _regions(per.filter((F.col("rows") >= 3) & (F.col("ca") < F.col("cb"))), "content_structure", "min_row", "min_col", "max_row", "max_col")
 
 
-def regions_multirow(seq: DataFrame, head: int = 11) -> DataFrame:
-    """Blocks of two or more header-like rows at the top, each running to the next such block or three-row gap.
+def regions_multirow(seq: DataFrame, head: int | None = None) -> DataFrame:
+    """Blocks of two or more header-like rows, each running to the next such block or three-row gap.
 
-    At most ``head`` rows per sheet are gathered; rows below enter through minima only.
+    With ``head`` only the first rows of a sheet can form a block.
     """
     label_like = F.col("has_labels") & ~F.col("mostly_numeric")
     marks = seq.filter(label_like).select(*SHEET, F.explode(F.array(F.col("r"), F.col("r") - 1, F.col("r") - 2)).alias("r"))
     ahead = marks.groupBy(*ROW).agg(F.count(F.lit(1)).alias("ahead"))
     d = seq.join(ahead, ROW, "left").withColumn("hl", label_like & (F.col("n") >= 3))
-    limit = F.col("min_row") + head - 1
-    early = F.col("r") <= limit
-    stop = (F.col("hl") & (F.coalesce("ahead", F.lit(0)) >= 2)) | F.coalesce(F.col("gap") >= 3, F.lit(False))
-    at = F.struct("r", "prev_r")
-    per = d.groupBy(*SHEET, *BOUNDS).agg(
-        F.sort_array(F.collect_list(F.when(early & F.col("hl"), F.col("r")))).alias("heads"),
-        F.collect_list(F.when(early, F.col("r"))).alias("near_rows"),
-        F.collect_list(F.when(early & stop, at)).alias("near"),
-        F.min(F.when(~early, F.col("r"))).alias("far_row"),
-        F.min(F.when(~early & stop, at)).alias("far"),
-        F.min(F.when(stop & (F.col("prev_r") > limit), at)).alias("far_next"),
-        F.max("r").alias("last"),
-    )
-    starts = F.filter("heads", lambda x: ~F.array_contains("heads", x - 1) & F.array_contains("heads", x + 1))
-    d = per.withColumn("a", F.explode(starts))
-    # last row of the consecutive run that starts at a
-    d = d.withColumn("b", F.aggregate("heads", F.col("a"), lambda acc, x: F.when(x == acc + 1, x).otherwise(acc)))
-    ds = F.coalesce(F.array_min(F.filter("near_rows", lambda x: x > F.col("b"))), F.col("far_row"))
-    d = d.withColumn("ds", ds).filter(F.col("ds").isNotNull())
-    late = F.col("ds") > F.col("min_row") + head - 1
-    hit = F.when(late, F.col("far_next")).otherwise(F.coalesce(F.array_min(F.filter("near", lambda x: x["r"] > F.col("ds"))), F.col("far")))
-    end = F.coalesce(hit["prev_r"], F.col("last"))
-    out = d.withColumn("end", end).filter(F.col("end") >= F.col("ds"))
-    return _regions(out, "multirow_headers", "a", "min_col", "end", "max_col",
-                    (F.col("b") - F.col("a") + 1).alias("header_rows"), F.col("ds").alias("data_start_row"))
+    d = _with_end(d, (F.col("hl") & (F.coalesce("ahead", F.lit(0)) >= 2)) | F.coalesce(F.col("gap") >= 3, F.lit(False)))
+    if head is not None:
+        d = d.withColumn("hl", F.col("hl") & (F.col("r") < F.col("min_row") + head))
+    d = with_neighbours(d, SHEET, "r", ["r", "hl", "end"], prev="_before", nxt="_after")
+    joins = lambda x, step: F.coalesce(x["hl"] & (x["r"] == F.col("r") + step), F.lit(False))
+    d = with_segment_start(d.withColumn("_first", F.col("hl") & ~joins(F.col("_before"), -1)), SHEET, "r", F.col("_first"), "a")
+    # At the last row of a block: the next data row opens the data.
+    d = d.filter(F.col("hl") & ~joins(F.col("_after"), 1) & (F.col("r") > F.col("a")) & F.col("_after").isNotNull())
+    return _regions(d.withColumn("_to", F.col("_after.end")), "multirow_headers", "a", "min_col", "_to", "max_col",
+                    (F.col("r") - F.col("a") + 1).alias("header_rows"), F.col("_after.r").alias("data_start_row"))
 
 
 def _first_wide_gap(start: str = "seg") -> Column:

@@ -27,7 +27,7 @@ SHARED["rle"] = (
  UNION ALL SELECT {R}, CAST(unnest(range(run, run + len)) AS INT), 1, {BODY} FROM rlerun WHERE NOT {PACK}""",
     ["rlerun"],
 )
-Q = """('"' || replace({0}, '"', '\\"') || '"')"""
+Q = "CASE WHEN {0} IS NOT NULL THEN CAST(to_json({0}) AS VARCHAR) END"
 JV = f"""CASE WHEN vtype IN ('string','date','error') THEN {Q.format('vtext')} WHEN vtype='boolean' THEN CAST(vbool AS VARCHAR) ELSE coalesce({VALUE}, 'null') END"""
 CELL = f"""('[' || c || ',' || {JV} || CASE WHEN style IS NOT NULL OR formula IS NOT NULL OR run_length > 1 THEN ',' || coalesce({Q.format('style')}, 'null') ELSE '' END
  || CASE WHEN formula IS NOT NULL OR run_length > 1 THEN ',' || coalesce({Q.format('formula')}, 'null') ELSE '' END || CASE WHEN run_length > 1 THEN ',' || run_length ELSE '' END || ']')"""

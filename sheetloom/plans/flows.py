@@ -59,7 +59,6 @@ query("read_compact_cells", lambda t: src.read_compact_cells(t.spark, compact_fi
       f"""SELECT {S}, r, c, vtype, vnum, coalesce(style, CASE WHEN one THEN st END) AS style, formula, run_length FROM (SELECT *, count(DISTINCT style) OVER (PARTITION BY {S}, r) = 1 AS one, max(style) OVER (PARTITION BY {S}, r) AS st FROM rle) x""")
 query("read_pdf_result", lambda t: src.read_pdf_result(t.spark, pdf_files(t))[1].withColumn("value", F.round("value", 9)), "kept",
       "SELECT doc_id, page_no, CAST(section_no AS INT) AS section_no, round(value, 9) AS value, text AS original_text, fmt AS format FROM kept")
-query("file_manifest", lambda t: src.file_manifest(t.spark, t.folder, "*.parquet"))
 query("list_runs", lambda t: src.list_runs(run_meta(t).select("processing_id", "filename", F.when(F.col("processing_id") % 7 != 0, F.date_format("created_at", "yyyy-MM-dd HH:mm:ss")).alias("created_at"))), "runs",
       "SELECT processing_id, filename, CASE WHEN processing_id % 7 <> 0 THEN strftime(created_at, '%Y-%m-%d %H:%M:%S') END AS created_at FROM runs")
 NAME = "CASE WHEN o_orderkey % 50 = 0 THEN '__.xlsx' ELSE 'up/' || o_orderpriority || ' (' || CAST(o_orderkey AS STRING) || ')  Été.Report v2.xlsx' END"

@@ -110,10 +110,9 @@ query("table_meta", lambda t: op.table_meta(tabs(t), t.cells, t.merges), "tab in
 query("simple_table_view", lambda t: op.simple_table_view(t.cells).select(*SHEET, "r", F.array_join("row_values", "|").alias("row_text")), "cells",
       f"""SELECT {R}, string_agg(coalesce({VALUE}, ''), '|' ORDER BY c) AS row_text FROM cells JOIN (SELECT {S}, min(r) AS fr FROM cells GROUP BY ALL) f USING ({S}) WHERE r > fr GROUP BY {R}""")
 query("simple_table_cells", lambda t: op.simple_table_cells(t.cells), "cells",
-      f"""SELECT b.workbook_id, b.sheet_id, b.r, b.c, b.value, coalesce(h.value, '') AS column_header, coalesce(k.value, 'None') AS row_header
- FROM (SELECT {R}, c, {VALUE} AS value, min(r) OVER (PARTITION BY {S}) AS fr FROM cells) b
- JOIN (SELECT {R}, c, {VALUE} AS value FROM cells) h ON h.workbook_id=b.workbook_id AND h.sheet_id=b.sheet_id AND h.r=fr AND h.c=b.c
- LEFT JOIN (SELECT {R}, c, {VALUE} AS value FROM cells) k ON k.workbook_id=b.workbook_id AND k.sheet_id=b.sheet_id AND k.r=b.r AND k.c=1 WHERE b.r > fr""")
+      f"""SELECT {R}, c, value, coalesce(h, '') AS column_header, coalesce(k, 'None') AS row_header FROM (
+ SELECT *, max(CASE WHEN r = fr THEN value END) OVER (PARTITION BY {S}, c) AS h, count(*) FILTER (r = fr) OVER (PARTITION BY {S}, c) AS heads, max(CASE WHEN c = 1 THEN value END) OVER (PARTITION BY {R}) AS k
+ FROM (SELECT {R}, c, {VALUE} AS value, min(r) OVER (PARTITION BY {S}) AS fr FROM cells) a) b WHERE r > fr AND heads > 0""")
 query("records_view",
       lambda t: op.records_view(tabs(t), t.cells).select(*REG, "r", F.array_join(F.transform(F.map_entries("record"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "; ").alias("record")),
       "inreg collab",

@@ -186,7 +186,7 @@ _WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
 def _stored(spark: SparkSession, folder: str, name: str, df: DataFrame) -> DataFrame:
     key = (spark.sparkContext.applicationId, folder, name)
     if key not in _WRITTEN:
-        _WRITTEN[key] = durable(df.repartition(spark.sparkContext.defaultParallelism))
+        _WRITTEN[key] = durable(df)
     return _WRITTEN[key]
 
 

@@ -151,7 +151,7 @@ query("tables_per_page_cap",
           regs(t).select(*KEY, (F.when(F.col("doc_id") % 2 == 0, F.col("table_no") % 2).otherwise(1)).cast("int").alias("strategy"))).select(*KEY, "strategy", "rank"),
       "treg",
       f"""SELECT {T}, strategy, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY {P} ORDER BY table_no) AS rank FROM (
- SELECT {T}, CAST(CASE WHEN doc_id % 2 = 0 THEN table_no % 2 ELSE 1 END AS INT) AS strategy FROM treg QUALIFY rank() OVER (PARTITION BY {P} ORDER BY strategy) = 1) x) y WHERE rank <= 10""")
+ SELECT {T}, CAST(CASE WHEN doc_id % 2 = 0 THEN table_no % 2 ELSE 1 END AS INT) AS strategy FROM treg QUALIFY rank() OVER (PARTITION BY {P} ORDER BY strategy) = 1) x) y""")
 query("pdf_table_cells", lambda t: op.pdf_table_cells(tcells(t)), "tc",
       f"""SELECT {T}, r, c, trim(text) AS value, coalesce(h, 'Column ' || chr(CAST(64 + c AS INT))) AS column_label, coalesce(l, 'Row ' || r) AS row_label, r = 1 AS is_header_row,
  max(r) OVER (PARTITION BY {T}) * max(c) OVER (PARTITION BY {T}) AS cell_count FROM tc LEFT JOIN (SELECT {T}, c, trim(text) AS h FROM tc WHERE r = 1) a USING ({T}, c)

@@ -42,21 +42,21 @@ SHARED["formulas"] = (
     ["cells"],
 )
 SHARED["levels"] = (
-    f"""SELECT {S}, CAST(header_levels AS INT) AS header_levels, round(least(sum((8 - coalesce(filled, 0)) / 8 * 0.1::DOUBLE), 1.0::DOUBLE), 9) AS inconsistency FROM (
- SELECT s.workbook_id, s.sheet_id, greatest(1, coalesce((SELECT max(r) FROM (SELECT * FROM lv WHERE texts / n > 0.7::DOUBLE) q WHERE q.workbook_id=s.workbook_id AND q.sheet_id=s.sheet_id), 1)) AS header_levels FROM sheets s) h
- JOIN (SELECT unnest(range(1, 6)) AS lvl) l ON lvl <= header_levels
- LEFT JOIN (SELECT workbook_id AS w2, sheet_id AS s2, r AS r2, filled FROM lv) f ON w2 = workbook_id AND s2 = sheet_id AND r2 = lvl GROUP BY {S}, header_levels""",
+    f"""SELECT {S}, CAST(header_levels AS INT) AS header_levels, round(least(header_levels * 0.1::DOUBLE - sum(coalesce(filled, 0)) / width * 0.1::DOUBLE, 1.0::DOUBLE), 9) AS inconsistency FROM (
+ SELECT *, unnest(range(1, header_levels + 1)) AS lvl FROM (
+  SELECT {S}, CAST(greatest(1, coalesce(top, 1)) AS INT) AS header_levels, max_col - min_col + 1 AS width FROM sheets LEFT JOIN (SELECT {S}, max(r) AS top FROM lv WHERE texts / n > 0.7::DOUBLE GROUP BY ALL) q USING ({S})) h) l
+ LEFT JOIN (SELECT workbook_id AS w2, sheet_id AS s2, r AS r2, filled FROM lv) f ON w2 = workbook_id AND s2 = sheet_id AND r2 = lvl GROUP BY {S}, header_levels, width""",
     ["sheets", "lv"],
 )
 SHARED["lv"] = (
     f"""SELECT {R}, count(*) AS n, count(*) FILTER (vtype IN ('string','date','error')) AS texts,
  count(*) FILTER (CASE WHEN vtype IN ('string','date','error') THEN length(vtext) > 0 WHEN vtype='number' THEN vnum <> 0 WHEN vtype='boolean' THEN vbool ELSE false END) AS filled
- FROM cells WHERE r BETWEEN 1 AND 5 GROUP BY ALL""",
+ FROM cells WHERE r >= 1 GROUP BY ALL""",
     ["cells"],
 )
 SHARED["levels_meta"] = (
     f"""SELECT {S}, count(*) AS header_levels, round(least(sum((8 - present) / 8), 1.0::DOUBLE), 9) AS inconsistency FROM (
- SELECT {R}, count(*) AS present, count({PT}) AS valued FROM cells WHERE r BETWEEN 1 AND 10 GROUP BY ALL) x WHERE valued > 0 GROUP BY {S}""",
+ SELECT {R}, count(*) AS present, count({PT}) AS valued FROM cells WHERE r >= 1 GROUP BY ALL) x WHERE valued > 0 GROUP BY {S}""",
     ["cells"],
 )
 SHARED["mergeprof"] = (
@@ -67,7 +67,7 @@ SHARED["mergeprof"] = (
 )
 SHARED["colmean"] = (
     f"""SELECT {S}, count(*) AS columns, round(least(avg(inconsistency), 1.0::DOUBLE), 9) AS mean_inconsistency,
- round(coalesce(avg(inconsistency) FILTER (c < 21), 0), 9) AS mean_first20, count(*) FILTER (c < 21 AND inconsistency > 0.3::DOUBLE) AS high_first20
+ round(coalesce(avg(inconsistency), 0), 9) AS mean_early, count(*) FILTER (inconsistency > 0.3::DOUBLE) AS high_early
  FROM coltypes WHERE n > 1 GROUP BY {S}""",
     ["coltypes"],
 )

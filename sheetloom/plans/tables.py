@@ -33,7 +33,7 @@ SHARED["r_blank"] = (
 SHARED["r_temp"] = (
     f"""SELECT {S}, 'temporal_headers' AS method, h AS r1, min_col AS c1, e AS r2, max_col AS c2 FROM (
   SELECT a.workbook_id, a.sheet_id, a.r AS h, coalesce((SELECT min(b.r) FROM seq b WHERE b.workbook_id=a.workbook_id AND b.sheet_id=a.sheet_id AND b.r > a.r AND (b.temporal OR b.gap >= 2)), 1000000) AS stop
-  FROM seq a WHERE a.temporal AND a.r <= 5) q JOIN LATERAL (SELECT max(r) AS e FROM seq c WHERE c.workbook_id=q.workbook_id AND c.sheet_id=q.sheet_id AND c.r < stop) l ON true {J} WHERE e > h""", ["seq", "sheets"])
+  FROM seq a WHERE a.temporal) q JOIN LATERAL (SELECT max(r) AS e FROM seq c WHERE c.workbook_id=q.workbook_id AND c.sheet_id=q.sheet_id AND c.r < stop) l ON true {J} WHERE e > h""", ["seq", "sheets"])
 SHARED["r_content"] = (
     f"""SELECT {S}, 'content_structure' AS method, min_row AS r1, min_col AS c1, max_row AS r2, max_col AS c2 FROM (
   SELECT {S} FROM norm GROUP BY ALL HAVING count(DISTINCT r) >= 3 AND count(DISTINCT c) >= 2) x {J}""", ["norm", "sheets"])
@@ -42,7 +42,7 @@ SHARED["hlrows"] = (
  (SELECT count(*) FROM seq b WHERE b.workbook_id=a.workbook_id AND b.sheet_id=a.sheet_id AND b.r BETWEEN a.r AND a.r + 2 AND b.has_labels AND NOT b.mostly_numeric) >= 2 AS ahead FROM seq a""", ["seq"])
 SHARED["r_multi"] = (
     f"""SELECT {S}, 'multirow_headers' AS method, a AS r1, min_col AS c1, e AS r2, max_col AS c2, CAST(b - a + 1 AS INT) AS header_rows, ds AS data_start_row FROM (
-  SELECT {S}, min(r) AS a, max(r) AS b FROM (SELECT *, r - row_number() OVER (PARTITION BY {S} ORDER BY r) AS g FROM hlrows WHERE hl AND r <= 11) z GROUP BY {S}, g HAVING count(*) >= 2) blk
+  SELECT {S}, min(r) AS a, max(r) AS b FROM (SELECT *, r - row_number() OVER (PARTITION BY {S} ORDER BY r) AS g FROM hlrows WHERE hl) z GROUP BY {S}, g HAVING count(*) >= 2) blk
  JOIN LATERAL (SELECT min(r) AS ds FROM hlrows d WHERE d.workbook_id=blk.workbook_id AND d.sheet_id=blk.sheet_id AND d.r > b) d1 ON ds IS NOT NULL
  JOIN LATERAL (SELECT coalesce(min(r), 1000000) AS stop FROM hlrows d WHERE d.workbook_id=blk.workbook_id AND d.sheet_id=blk.sheet_id AND d.r > ds AND ((hl AND ahead) OR gap >= 3)) d2 ON true
  JOIN LATERAL (SELECT max(r) AS e FROM hlrows d WHERE d.workbook_id=blk.workbook_id AND d.sheet_id=blk.sheet_id AND d.r < stop) d3 ON true {J} WHERE e >= ds""", ["hlrows", "sheets"])

@@ -44,15 +44,12 @@ def latest_status(events: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     return ids.join(d, "processing_id", "left").withColumn("status", F.coalesce("status", F.lit("not_found")))
 
 
-def latest_status_stream(spark: SparkSession, source: str, schema, target: str, checkpoint: str, keep: str | None = None) -> None:
+def latest_status_stream(spark: SparkSession, source: str, schema, target: str, checkpoint: str) -> None:
     """Keep the last record per id as events arrive and append each change to ``target``.
 
-    The state holds one record per id for ever unless ``keep`` gives an interval
-    after which events count as too late.
+    The state holds one record per id and never shrinks: size it for the number of ids.
     """
     arriving = spark.readStream.schema(schema).parquet(source)
-    if keep:
-        arriving = arriving.withWatermark("ts", keep)
     q = (
         _latest(arriving).select("processing_id", "last.*").writeStream.outputMode("update").option("checkpointLocation", checkpoint)
         .foreachBatch(lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{target}/batch_id={n}"))

@@ -181,3 +181,119 @@ def test_block_scans_equal_plain_windows(spark):
     got = scan.with_segment_start(got, ["k"], "p", F.col("f"), "s", block=16)
     got = scan.with_row_number(got, ["k"], "p", "n", block=16).select("k", "p", F.col("prev.p").alias("a"), F.col("nxt.p").alias("z"), "s", "n")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_limits_of_the_first_rows_are_arguments(spark):
+    rows = {r: ["x1", 2.0, 3.0] for r in range(1, 40)}
+    rows[20] = ["2025-05-31", "2025-06-30", "Month 7"]
+    seq = tables.row_sequence(profiles.row_profile(cells(spark, rows), sheets(spark, 39, 3)))
+    assert [(x.r1, x.r2) for x in tables.regions_temporal(seq).collect()] == [(20, 39)]
+    assert tables.regions_temporal(seq, head=5).count() == 0
+    rows = {r: ["x1", 2.0, 3.0] for r in range(1, 40)}
+    rows[30] = rows[31] = ["region name", "unit price", "total amount"]
+    seq = tables.row_sequence(profiles.row_profile(cells(spark, rows), sheets(spark, 39, 3)))
+    assert [(x.r1, x.header_rows, x.data_start_row, x.r2) for x in tables.regions_multirow(seq).collect()] == [(30, 2, 32, 39)]
+    assert tables.regions_multirow(seq, head=11).count() == 0
+    first = profiles.header_levels(cells(spark, rows), sheets(spark, 39, 3), head=5).first().header_levels
+    assert (first, profiles.header_levels(cells(spark, rows), sheets(spark, 39, 3)).first().header_levels) == (1, 31)
+    assert profiles.header_levels_meta(cells(spark, rows), sheets(spark, 39, 3), head=10).first().header_levels == 10
+    assert profiles.header_levels_meta(cells(spark, rows), sheets(spark, 39, 3)).first().header_levels == 39
+
+
+def test_sheet_text_with_and_without_limit(spark):
+    df = cells(spark, {r: [f"v{r}"] for r in range(1, 150)})
+    assert routing.sheet_text(df).count() == 149
+    cut = [x.line for x in routing.sheet_text(df, 100).orderBy("r", F.length("line")).collect()]
+    assert len(cut) == 101 and cut[0] == "Row 1: Col1:v1" and cut[-1] == "... (49 more rows truncated)"
+
+
+def test_tables_of_a_page_are_all_kept(spark):
+    found = spark.createDataFrame([(1, 0, n, 1) for n in range(25)], "doc_id long, page_no int, table_no int, strategy int")
+    assert layout.tables_per_page_cap(found).count() == 25 and layout.tables_per_page_cap(found, 10).count() == 10
+
+
+
+def parse(spark, *texts):
+    rows = [(1, i, t) for i, t in enumerate(texts)]
+    return compare.extract_json_block(spark.createDataFrame(rows, "workbook_id long, sheet_id long, response_text string"))
+
+
+def test_any_readable_json_is_a_success(spark):
+    got = {x.sheet_id: x for x in parse(spark, "{}", '{"notes": "none"}', "no json", "```json {broken ```", 'say {"analysis_confidence": 0.9} so').collect()}
+    assert [got[i].status for i in range(5)] == ["success", "success", "parse_error", "parse_error", "success"]
+    assert got[0].analysis_confidence == 0.5 and got[4].analysis_confidence == 0.9 and got[2].analysis_confidence == 0.0
+
+
+def test_indicators_count_in_table_order(spark):
+    table = lambda levels, marks, rows=5: (
+        '{"boundaries": {"start_row": 1, "end_row": %d, "start_col": 1, "end_col": 10}, "headers": {"row_headers": [{"row": 1, "level": %d}]}, "complexity_indicators": [%s]}'
+        % (rows, levels, ", ".join(f'"{m}"' for m in marks))
+    )
+    score = lambda *ts: '{"tables_detected": [%s]}' % ", ".join(ts)
+    texts = [
+        score(table(1, ["multi_level_headers"]), table(2, [])),  # named before it was seen: both count
+        score(table(2, ["multi_level_headers"])),  # seen first
+        score(table(1, ["large_table"], 200)),  # named before its size is known
+        score(table(1, [], 200), table(1, ["large_table"])),
+        score(table(1, ["odd", "odd"]), table(1, ["odd"])),
+    ]
+    parsed = parse(spark, *texts)
+    got = {x.sheet_id: x.score for x in compare.response_complexity(parsed, compare.parsed_table_fields(compare.validate_tables(parsed))).collect()}
+    assert [got[i] for i in range(5)] == [0.15, 0.1, 0.1, 0.05, 0.05]
+
+
+def test_native_and_model_tables_are_united(spark):
+    native = spark.createDataFrame([(1, 0, "p1_t1"), (2, 0, "p1_t1")], "doc_id long, page_no int, table_id string")
+    model = spark.createDataFrame([(1, 0, "m1")], "doc_id long, page_no int, table_id string")
+    assert routing.merge_tables(native, model).count() == 3
+
+
+def test_insights_name_the_cost(spark):
+    from sheetloom.operators import stats
+
+    rows = [(1, "ai_primary", "complex", 0.05), (1, "traditional_only", "simple", 0.03), (2, "traditional_only", "simple", 0.03)]
+    got = {x.workbook_id: x.insights for x in stats.file_insights(spark.createDataFrame(rows, "workbook_id long, decision string, complexity_level string, estimated_cost double")).collect()}
+    assert got == {1: ["1 sheets required AI-primary processing", "Average cost per sheet: $0.0250"], 2: ["All sheets were simple enough for traditional processing"]}
+
+
+def test_escapes_survive_write_and_read(spark, tmp_path):
+    import json
+
+    from sheetloom.sources import artifacts
+
+    odd = ['back\\slash', 'line\nbreak', 'quo"te', "tab\tand é"]
+    df = cells(spark, {1: odd, 2: [1.5, True, "plain", "end"]}).withColumns({"run_length": F.lit(1), "style": F.when(F.col("c") == 2, F.lit('{"number_format":"0.0 \\"x\\""}'))})
+    lines = encoding.write_compact_sheets(df)
+    rows = {x.r: json.loads(x.json) for x in lines.collect()}
+    assert [c[1] for c in rows[1]["cells"]] == odd and json.loads(rows[1]["style"]) == {"number_format": '0.0 "x"'}
+    out = lines.select(F.concat(F.lit('{"workbook_id":1,"sheet_id":1,'), F.expr("substring(json, 2)")).alias("value")).unionByName(spark.createDataFrame([("{broken",)], "value string"))
+    out.write.text(str(tmp_path / "rows"))
+    back = {(x.r, x.c): x.vtext for x in artifacts.read_compact_cells(spark, str(tmp_path / "rows")).filter("r = 1").collect()}
+    assert [back[1, c] for c in range(1, 5)] == odd
+    assert [x.line for x in artifacts.rejected_lines(spark, str(tmp_path / "rows")).collect()] == ["{broken"]
+
+
+def test_workbook_and_compact_files(spark, tmp_path):
+    import json
+
+    from sheetloom.sources import artifacts
+
+    cell = {"coordinate": "B2", "row": 2, "column": 2, "value": 1.5, "data_type": "n", "formula": "=A1", "comment": {"text": "hi"}, "style": {"font": {"bold": True}}, "is_error": False, "is_date": False}
+    book = {"workbook": {"sheets": [{"name": "S", "state": "visible", "dimensions": {"min_row": 1, "min_col": 1, "max_row": 2, "max_col": 2}, "frozen_panes": {"frozen_rows": 1, "frozen_cols": 0},
+            "cells": {"A1": {"value": "a\\b", "is_error": False, "is_date": False}, "B2": cell, "C3": {"value": True}, "D4": {"value": None}}}, {"name": "empty", "cells": {}}]}}
+    (tmp_path / "v").mkdir()
+    (tmp_path / "v" / "one.json").write_text(json.dumps(book, indent=1))
+    (tmp_path / "v" / "bad.json").write_text("{no json")
+    found, parts = artifacts.read_workbooks(spark, str(tmp_path / "v"))
+    assert {(x.sheet_no, x.name, x.max_row, x.frozen_rows) for x in found.collect()} == {(0, "S", 2, 1), (1, "empty", None, None)}
+    got = {(x.r, x.c): x for x in parts.collect()}
+    assert {k: x.vtype for k, x in got.items()} == {(1, 1): "string", (2, 2): "number", (3, 3): "boolean", (4, 4): "null"}
+    assert got[1, 1].vtext == "a\\b" and got[2, 2].vnum == 1.5 and got[2, 2].formula == "=A1" and json.loads(got[2, 2].style) == {"font": {"bold": True}} and got[1, 1].comment is None
+    sheet = {"name": "S1", "frozen": [1, 1], "dimensions": [1, 1, 9, 3], "merged": [[2, 3, 2, 5]], "rows": [{"r": 1, "style": "h", "cells": [[1, "Product"], [2, "Price", "cur"], [3, None, None, "=B1", 4]]}]}
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "one.json").write_text(json.dumps(sheet, indent=1))
+    (tmp_path / "c" / "two.json").write_text(json.dumps({"workbook": {"sheets": [sheet]}}))
+    found, merges, parts = artifacts.read_compact_sheets(spark, str(tmp_path / "c"))
+    assert [tuple(x)[2:] for x in found.collect()] == [("S1", 1, 1, 9, 3, 1, 1)] * 2
+    assert {tuple(x)[2:] for x in merges.collect()} == {(2, 3, 2, 5)}
+    assert {tuple(x)[2:] for x in parts.collect()} == {(1, 1, "string", "Product", None, None, "h", None, 1), (1, 2, "string", "Price", None, None, "cur", None, 1), (1, 3, "null", None, None, None, "h", "=B1", 4)}
