@@ -22,9 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sheetloom.llm.text import pieces
+
 NEVER = 1 << 62
 SHORT = 200
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 
 
 def _class(kind: str) -> str:
@@ -160,7 +162,7 @@ def _mapped(df: DataFrame, source: str, target: str, kind: str, fn) -> DataFrame
     schema = T.StructType([f for f in df.schema.fields if f.name != target] + [T.StructField(target, T._parse_datatype_string(kind))])
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             made = pa.array(map(fn, batch.column(batch.schema.get_field_index(source)).to_pylist()), arrow)
             keep = [i for i, name in enumerate(batch.schema.names) if name != target]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), made], names=[*(batch.schema.names[i] for i in keep), target])

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheetloom.llm.store import Stored
+from sheetloom.llm.text import pieces
 
 WINDOW = 10
 #: Words of patterns that one pass over the documents holds in memory; more patterns take more passes.
@@ -88,7 +89,7 @@ def _search(df: DataFrame, machines: list[WuManber], text: str) -> DataFrame:
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             at = batch.schema.get_field_index
             counts, spans_out, items_out = [], [], []
             for value, spans, items in zip(batch.column(at(text)).to_pylist(), batch.column(at("hit_spans")).to_pylist(), batch.column(at("hit_items")).to_pylist()):

@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheetloom.llm.text import held_out, unit_hash
+from sheetloom.llm.text import held_out, pieces, unit_hash
 
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
-CACHE_WORDS = 300_000
+CACHE_WORDS = 120_000
 
 
 def has_letter(text: str | None) -> bool:
@@ -196,7 +196,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
 
     def run(batches):
         model = sent.value
-        for batch in batches:
+        for batch in pieces(batches):
             found = [model.predict(t) if model else (UNKNOWN, 0.0) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             keep = [i for i, n in enumerate(batch.schema.names) if n not in added.fieldNames()]
             made = [pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64()), pa.array([x != UNKNOWN and s >= model.threshold for x, s in found], pa.bool_())]

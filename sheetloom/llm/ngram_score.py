@@ -28,7 +28,7 @@ DISCOUNT = 0.4
 LEAST = 2
 BLOCK_BYTES = 8 << 20
 RANGE_NAMES = 2_500_000
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 _MULTIPLY = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 _words: dict[bytes, int] = {}

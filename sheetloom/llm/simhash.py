@@ -26,14 +26,14 @@ from pyspark.sql import types as T
 
 from sheetloom.llm.components import components
 from sheetloom.llm.store import Stored
-from sheetloom.llm.text import filled
+from sheetloom.llm.text import filled, pieces
 
 BITS = 64
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
 #: Variants of one group table; it bounds the memory of a task.
-GROUP_VARIANTS = 2_000_000
+GROUP_VARIANTS = 1_000_000
 BLOCK = 2_000
 
 ONE = [0, *(1 << i for i in range(BITS))]
@@ -61,7 +61,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", shingle: int = SHINGLE
     schema = T.StructType([f for f in docs.schema.fields if f.name not in ("fingerprint", text)] + [T.StructField("fingerprint", T.LongType())])
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             values = batch.column(batch.schema.get_field_index(text)).to_pylist()
             made = np.fromiter((fingerprint(v, shingle) for v in values), np.uint64, len(values)).view(np.int64)
             keep = [i for i, n in enumerate(batch.schema.names) if n not in ("fingerprint", text)]

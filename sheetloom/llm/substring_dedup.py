@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheetloom.llm.store import Stored
-from sheetloom.llm.text import filled
+from sheetloom.llm.text import filled, pieces
 
 LENGTH = 200
 GRAM = 64
@@ -117,7 +117,7 @@ def _anchor_rows(length: int):
 
     def run(batches):
         held, size = [], 0
-        for batch in batches:
+        for batch in pieces(batches):
             for k1, k2, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 for at, piece in _pieces(text, length):
                     if size + len(piece) > BUFFER:
@@ -135,7 +135,7 @@ def _window_rows(length: int):
     """Two names (together the whole window), place and weight of the windows asked for in each text."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             for k1, k2, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 for at, piece in _pieces(text, length):
                     here = [(max(w["lo"], at) - at, min(w["hi"], at + len(piece) - length) - at, w["n"]) for w in wanted]
@@ -210,7 +210,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def run(batches):
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in pieces(batches):
             at = batch.schema.get_field_index
             sizes, removed, kept = [], [], []
             for text, runs in zip(batch.column(at("__bytes")).to_pylist(), batch.column(at("__runs")).to_pylist()):

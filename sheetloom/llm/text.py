@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SALTS = 64
+#: Rows whose texts a Python worker holds as objects at a time.
+PIECE_ROWS = 256
 
 
 def ascii_lower(text: Column) -> Column:
@@ -32,3 +34,10 @@ def unit_hash(*cols: Column) -> Column:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def pieces(batches):
+    """Arrow batches in slices of a few rows, so that long texts do not pile up as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PIECE_ROWS):
+            yield batch.slice(at, PIECE_ROWS)

@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheetloom.llm.store import Stored
-from sheetloom.llm.text import filled, held_out
+from sheetloom.llm.text import filled, held_out, pieces
 
 WORD = re.compile(r"[^\W\d_]+")
-CACHE_WORDS = 300_000
+CACHE_WORDS = 120_000
 
 #: Patterns of writing that may accompany abuse; the label model finds what they are worth.
 PATTERNS = {
@@ -200,7 +200,7 @@ def toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most top_terms weights
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             made = pa.array(map(sent.value.score, batch.column(batch.schema.get_field_index(text)).to_pylist()), pa.float64())
             keep = [i for i, n in enumerate(batch.schema.names) if n != "score"]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), made], names=[*(batch.schema.names[i] for i in keep), "score"])
