@@ -32,19 +32,30 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-def subwords(word: str, buckets: int) -> list[int]:
-    """Buckets of the word and of its 2- to 4-letter pieces, with marked ends."""
-    marked = f"<{word}>"
-    pieces = [marked[i : i + n] for n in (2, 3, 4) for i in range(len(marked) - n + 1)] + [marked + "="]
-    return [zlib.crc32(p.encode()) % buckets for p in pieces]
+def subwords(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the word, bucket) of every word and of its 2- to 4-byte pieces, with marked ends."""
+    marked = [f"<{w}>".encode() for w in words]
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    data = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint32)
+    word = np.repeat(np.arange(len(marked)), sizes)
+    owners, ids = [np.arange(len(marked))], [np.fromiter(map(zlib.crc32, marked), np.uint32, len(marked))]
+    piece = data + np.uint32(1)
+    for n in (2, 3, 4):
+        piece = piece[:-1] * np.uint32(0x01000193) ^ (data[n - 1 :] + np.uint32(n << 8))
+        within = word[: len(piece)] == word[n - 1 :]
+        owners.append(word[: len(piece)][within])
+        ids.append(piece[within])
+    mixed = np.concatenate(ids)
+    mixed = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+    return np.concatenate(owners), ((mixed >> np.uint32(8)) % np.uint32(buckets)).astype(np.int64)
 
 
 def bag(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    counts: Counter = Counter()
-    for word, n in Counter(words).items():
-        for b in subwords(word, buckets):
-            counts[b] += n
-    return np.fromiter(counts, np.int32, len(counts)), np.fromiter(counts.values(), np.float32, len(counts))
+    seen = Counter(words)
+    owner, ids = subwords(list(seen), buckets)
+    total = np.bincount(ids, np.fromiter(seen.values(), np.float64, len(seen))[owner], buckets)
+    found = np.flatnonzero(total)
+    return found.astype(np.int32), total[found].astype(np.float32)
 
 
 @dataclass
@@ -68,13 +79,16 @@ class Model:
         self.__dict__ |= state
         self.__post_init__()
 
-    def _row(self, word: str) -> int:
-        if len(self.index) == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros((max(1024, len(self.rows)), self.rows.shape[1]), np.float32)])
-        at = self.index[word] = len(self.index)
-        ids = subwords(word, len(self.weights))
-        self.rows[at, :-1], self.rows[at, -1] = self.weights[ids].sum(0), len(ids)
-        return at
+    def _learn(self, words: list[str]) -> None:
+        """Sums of the weights and numbers of the subwords of new words."""
+        if len(self.index) + len(words) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros((max(1024, len(self.rows), len(words)), self.rows.shape[1]), np.float32)])
+        owner, ids = subwords(words, len(self.weights))
+        at = len(self.index)
+        for c in range(len(self.languages)):
+            self.rows[at : at + len(words), c] = np.bincount(owner, self.weights[ids, c], len(words))
+        self.rows[at : at + len(words), -1] = np.bincount(owner, minlength=len(words))
+        self.index.update(zip(words, range(at, at + len(words))))
 
     def logits(self, text: str) -> np.ndarray:
         counts = Counter(WORD.findall(text.lower()))
@@ -82,8 +96,10 @@ class Model:
             return self.bias.astype(np.float64)
         if len(self.index) > CACHE_WORDS:
             self.__post_init__()
-        get = self.index.get
-        at = [self._row(w) if (i := get(w)) is None else i for w in counts]
+        new = [w for w in counts if w not in self.index]
+        if new:
+            self._learn(new)
+        at = np.fromiter(map(self.index.__getitem__, counts), np.int64, len(counts))
         total = np.fromiter(counts.values(), np.float32, len(counts)) @ self.rows[at]
         return total[:-1].astype(np.float64) / total[-1] + self.bias
 
