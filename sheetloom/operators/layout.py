@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sheetloom.functions import fixed
+from sheetloom.functions.folds import fold_append
 from sheetloom.functions.scan import with_neighbours, with_row_number, with_segment_start
 from sheetloom.schemas import PAGE
 
@@ -63,14 +64,13 @@ def words_to_rows(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
     runs = with_segment_start(d, PAGE, "top", cut, "run").groupBy(*PAGE, "run").agg(
         F.sort_array(F.collect_list("top")).alias("tops")
     )
-    kind = "array<struct<anchor:double,top:double>>"
 
-    def step(a: Column, t: Column) -> Column:
-        anchor = F.when(F.size(a) == 0, t).otherwise(F.element_at(a, -1)["anchor"])
-        anchor = F.when(t - anchor <= tolerance, anchor).otherwise(t)
-        return F.concat(a, F.array(F.struct(anchor.alias("anchor"), t.alias("top"))).cast(kind))
+    def step(a: Column, t: Column) -> tuple[Column, Column]:
+        anchor = F.when(t - a["anchor"] <= tolerance, a["anchor"]).otherwise(t)
+        return F.struct(anchor.alias("anchor")), F.array(F.struct(anchor.alias("anchor"), t.alias("top")))
 
-    placed = runs.select(*PAGE, F.inline(F.aggregate("tops", F.array().cast(kind), step)))
+    state = F.struct(F.lit(None).cast("double").alias("anchor"))
+    placed = runs.select(*PAGE, F.inline(fold_append(F.col("tops"), state, "struct<anchor:double>", "struct<anchor:double,top:double>", step)))
     rows = with_row_number(placed.select(*PAGE, "anchor").distinct(), PAGE, "anchor", "row_no")
     keyed = placed.join(rows, [*PAGE, "anchor"]).select(*PAGE, "top", "row_no")
     return words.join(keyed, [*PAGE, "top"])
@@ -101,17 +101,13 @@ def tabular_regions(lines: DataFrame, min_rows: int = 2, width_slack: int = 2, x
     change = d.filter(F.col("hard") | (F.col("n") != p["n"])).groupBy(*PAGE, "run").agg(
         F.sort_array(F.collect_list(F.struct("row_no", "n"))).alias("cs")
     )
-    kind = "struct<width:bigint,out:array<bigint>>"
-
-    def step(a: Column, c: Column) -> Column:
+    def step(a: Column, c: Column) -> tuple[Column, Column]:
         opens = a["width"].isNull() | (F.abs(c["n"] - a["width"]) > width_slack)
-        return F.struct(
-            F.when(opens, c["n"]).otherwise(a["width"]).alias("width"),
-            F.when(opens, F.concat(a["out"], F.array(c["row_no"]))).otherwise(a["out"]).alias("out"),
-        ).cast(kind)
+        row = F.array(c["row_no"])
+        return F.struct(F.when(opens, c["n"]).otherwise(a["width"]).alias("width")), F.when(opens, row).otherwise(F.slice(row, 1, 0))
 
-    none = F.struct(F.lit(None).cast("bigint").alias("width"), F.array().cast("array<bigint>").alias("out")).cast(kind)
-    opens = change.select(*PAGE, F.explode(F.aggregate("cs", none, step, lambda a: a["out"])).alias("row_no"), F.lit(True).alias("open"))
+    none = F.struct(F.lit(None).cast("bigint").alias("width"))
+    opens = change.select(*PAGE, F.explode(fold_append(F.col("cs"), none, "struct<width:bigint>", "bigint", step)).alias("row_no"), F.lit(True).alias("open"))
     d = d.drop("prev", "run", "hard").join(opens, [*PAGE, "row_no"], "left")
     d = with_segment_start(d, PAGE, "row_no", F.col("open").isNotNull(), "start_row")
     reg = d.groupBy(*PAGE, "start_row").agg(F.max("row_no").alias("end_row"), F.count(F.lit(1)).alias("rows"))
@@ -267,10 +263,13 @@ def spanning_link(summary: DataFrame, x_slack: float = 20.0, label_share: float
     return d.withColumn("linked", F.coalesce(linked, F.lit(False))).drop("prev")
 
 
-def merge_spanning(summary: DataFrame, cells: DataFrame, tables_per_page: int = 4096) -> tuple[DataFrame, DataFrame]:
-    """Chains of linked tables as one: (tables, rows).  Later header rows are dropped and rows renumbered."""
-    d = spanning_link(summary).withColumn("ord", F.col("page_no").cast("long") * tables_per_page + F.col("table_no"))
-    d = with_segment_start(d, ["doc_id"], "ord", ~F.col("linked"), "chain", block=64 * tables_per_page)
+def merge_spanning(summary: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chains of linked tables as one: (tables, rows).  Later header rows are dropped and rows renumbered.
+
+    ``chain`` is the place of the chain's first table among its document's tables.
+    """
+    d = with_row_number(spanning_link(summary), ["doc_id"], "page_no", "ord", tie=("table_no",))
+    d = with_segment_start(d, ["doc_id"], "ord", ~F.col("linked"), "chain")
     merged = d.groupBy("doc_id", "chain").agg(
         F.min("page_no").alias("page_from"), F.max("page_no").alias("page_to"), F.count(F.lit(1)).alias("parts"),
         F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"),
@@ -278,7 +277,7 @@ def merge_spanning(summary: DataFrame, cells: DataFrame, tables_per_page: int =
     merged = merged.withColumn("table_id", F.when(F.col("parts") > 1, F.format_string("table_spanning_pages_%d-%d", "page_from", "page_to")))
     link = d.select(*PAGE, "table_no", "chain", "ord")
     rows = cells.select(*PAGE, "table_no", "r").distinct().join(link, [*PAGE, "table_no"]).filter((F.col("r") > 1) | (F.col("chain") == F.col("ord")))
-    rows = with_row_number(rows, ["doc_id", "chain"], "ord", "n", tie=("r",), block=64 * tables_per_page)
+    rows = with_row_number(rows, ["doc_id", "chain"], "ord", "n", tie=("r",))
     return merged, rows.withColumn("row_index", F.col("n") - 1).select("doc_id", "chain", *PAGE[1:], "table_no", "r", "row_index")
 
 
@@ -293,9 +292,9 @@ def words_to_blocks(words: DataFrame) -> DataFrame:
     """
     item = F.struct("top", "x0", "line_no", "word_no", "x1", "bottom")
     pages = words.groupBy(*PAGE).agg(F.sort_array(F.collect_list(item)).alias("ws"))
-    kind = "struct<x0:double,top:double,x1:double,bottom:double,no:int,out:array<int>>"
+    kind = "struct<x0:double,top:double,x1:double,bottom:double,no:int>"
 
-    def step(b: Column, w: Column) -> Column:
+    def step(b: Column, w: Column) -> tuple[Column, Column]:
         gap = w["x0"] - b["x1"]
         line = (F.abs(w["top"] - b["top"]) <= 5) & (gap <= 50)
         nxt = b["bottom"] + 2
@@ -306,12 +305,12 @@ def words_to_blocks(words: DataFrame) -> DataFrame:
         return F.struct(
             F.when(join, F.least(b["x0"], w["x0"])).otherwise(w["x0"]).alias("x0"), F.when(join, F.least(b["top"], w["top"])).otherwise(w["top"]).alias("top"),
             F.when(join, F.greatest(b["x1"], w["x1"])).otherwise(w["x1"]).alias("x1"), F.when(join, F.greatest(b["bottom"], w["bottom"])).otherwise(w["bottom"]).alias("bottom"),
-            no.alias("no"), F.concat(b["out"], F.array(no)).alias("out"),
-        ).cast(kind)
+            no.alias("no"),
+        ), F.array(no)
 
     empty = F.lit(None).cast("double")
-    first = F.struct(empty.alias("x0"), empty.alias("top"), empty.alias("x1"), empty.alias("bottom"), F.lit(0).alias("no"), F.array().cast("array<int>").alias("out")).cast(kind)
-    nos = F.aggregate("ws", first, step, lambda b: b["out"])
+    first = F.struct(empty.alias("x0"), empty.alias("top"), empty.alias("x1"), empty.alias("bottom"), F.lit(0).alias("no"))
+    nos = fold_append(F.col("ws"), first, kind, "int", step)
     placed = pages.select(*PAGE, F.inline(F.arrays_zip(F.col("ws").alias("w"), nos.alias("block_no"))))
     return placed.select(*PAGE, "w.line_no", "w.word_no", "block_no")
 

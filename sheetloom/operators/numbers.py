@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sheetloom.functions import fixed
 from sheetloom.functions.cells import count_terms
+from sheetloom.functions.folds import fold_append
 
 SECTION = ["doc_id", "page_no", "section_no"]
 OPEN, CLOSE = "\u0001", "\u0002"
@@ -26,18 +27,13 @@ def matches(text: Column, pattern: str, ignore_case: bool = True) -> Column:
     clean = F.translate(text, OPEN + CLOSE, "��")
     flags = "(?iU)" if ignore_case else "(?U)"
     parts = F.split(F.regexp_replace(clean, f"{flags}({pattern})", f"{OPEN}$1{CLOSE}"), f"[{OPEN}{CLOSE}]", -1)
-    kind = "array<struct<start:int,text:string>>"
-    start = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("i"), F.array().cast(kind).alias("out"))
+    state = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("i"))
 
-    def step(a: Column, p: Column) -> Column:
-        item = F.array(F.struct(a["pos"].alias("start"), p.alias("text"))).cast(kind)
-        return F.struct(
-            (a["pos"] + F.length(p)).cast("int").alias("pos"),
-            (a["i"] + 1).cast("int").alias("i"),
-            F.when(a["i"] % 2 == 1, F.concat(a["out"], item)).otherwise(a["out"]).alias("out"),
-        )
+    def step(a: Column, p: Column) -> tuple[Column, Column]:
+        item = F.array(F.struct(a["pos"].alias("start"), p.alias("text")))
+        return F.struct((a["pos"] + F.length(p)).alias("pos"), (a["i"] + 1).alias("i")), F.when(a["i"] % 2 == 1, item).otherwise(F.slice(item, 1, 0))
 
-    return F.aggregate(parts, start, step, lambda a: a["out"])
+    return fold_append(parts, state, "struct<pos:int,i:int>", "struct<start:int,text:string>", step)
 
 
 def _tagged(found: Column, fmt: str) -> Column:
@@ -144,19 +140,15 @@ def resolve_overlaps(
             number_confidence(m["fmt"], m["text"], m["low"], lowered=True).alias("confidence"), m["context"].alias("context"),
         )
 
-    kind = "array<struct<start:int,prio:int,neg_len:int,fmt:string,text:string,value:double,confidence:double,context:string>>"
-    first = F.struct(F.lit(0).alias("end"), F.array().cast(kind).alias("out"))
+    kind = "struct<start:int,prio:int,neg_len:int,fmt:string,text:string,value:double,confidence:double,context:string>"
 
-    def step(a: Column, m: Column) -> Column:
+    def step(a: Column, m: Column) -> tuple[Column, Column]:
         keep = m["start"] >= a["end"]
-        return F.struct(
-            F.when(keep, m["start"] - m["neg_len"]).otherwise(a["end"]).cast("int").alias("end"),
-            F.when(keep, F.concat(a["out"], F.array(m).cast(kind))).otherwise(a["out"]).alias("out"),
-        )
+        return F.struct(F.when(keep, m["start"] - m["neg_len"]).otherwise(a["end"]).alias("end")), F.when(keep, F.array(m)).otherwise(F.slice(F.array(m), 1, 0))
 
     found = F.transform(F.transform(F.transform(candidate_array(content, patterns or fixed.NUMBERS_MAIN), placed), lowered), scored)
     ok = F.filter(found, lambda m: m["value"].isNotNull() & (m["confidence"] >= threshold))
-    kept = F.aggregate(F.sort_array(ok).cast(kind), first, step, lambda a: a["out"])
+    kept = fold_append(F.sort_array(ok).cast(f"array<{kind}>"), F.struct(F.lit(0).alias("end")), "struct<end:int>", kind, step)
     d = sections.filter(content.rlike(r"\d")).withColumn("m", F.explode(kept))
     return d.select(*sections.columns, "m.fmt", "m.start", "m.text", "m.value", "m.confidence", "m.context")
 

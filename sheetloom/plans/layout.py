@@ -51,7 +51,7 @@ SHARED["links"] = (
     f"""SELECT {T}, coalesce(page_no = pp + 1 AND cols = pc AND (SELECT count(*) FROM (SELECT unnest(heads) AS a, unnest(ph) AS b, unnest(range(1, cols + 1)) AS i) q WHERE i <= cols AND (lower(a) = lower(b) OR (a IS NULL AND b IS NULL))) / cols >= 0.7::DOUBLE
   AND abs(x0 - px0) <= 20 AND abs(x1 - px1) <= 20, false) AS linked FROM (SELECT *, lag(page_no) OVER w AS pp, lag(cols) OVER w AS pc, lag(heads) OVER w AS ph, lag(x0) OVER w AS px0, lag(x1) OVER w AS px1 FROM tsum WINDOW w AS (PARTITION BY doc_id ORDER BY page_no, table_no)) x""", ["tsum"])
 SHARED["chains"] = (
-    f"""SELECT {T}, max(CASE WHEN NOT linked THEN page_no * 4096 + table_no END) OVER (PARTITION BY doc_id ORDER BY page_no, table_no) AS chain, CAST(page_no AS BIGINT) * 4096 + table_no AS ord FROM links""", ["links"])
+    f"""SELECT {T}, max(CASE WHEN NOT linked THEN ord END) OVER (PARTITION BY doc_id ORDER BY ord) AS chain, ord FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, table_no) AS ord FROM links) x""", ["links"])
 SHARED["blk"] = (
     f"""SELECT doc_id, page_no, x.line_no, x.word_no, CAST(x.no AS INT) AS block_no FROM (SELECT {P}, unnest((list_reduce(ws, lambda b, w:
   CASE WHEN b.no > 0 AND ((abs(w.top - b.top) <= 5 AND w.x0 - b.x1 <= 50) OR (w.top >= b.bottom - 3 AND w.top <= b.bottom + 2 + b.bottom - b.top AND abs(w.x0 - b.x0) <= 20) OR (abs(w.top - b.bottom) <= 30 AND w.x0 - b.x1 <= 100))

@@ -297,3 +297,30 @@ def test_workbook_and_compact_files(spark, tmp_path):
     assert [tuple(x)[2:] for x in found.collect()] == [("S1", 1, 1, 9, 3, 1, 1)] * 2
     assert {tuple(x)[2:] for x in merges.collect()} == {(2, 3, 2, 5)}
     assert {tuple(x)[2:] for x in parts.collect()} == {(1, 1, "string", "Product", None, None, "h", None, 1), (1, 2, "string", "Price", None, None, "cur", None, 1), (1, 3, "null", None, None, None, "h", "=B1", 4)}
+
+
+def test_long_texts_and_pages_take_linear_folds(spark):
+    import time
+
+    text = "\n".join(f"sum {i}.5 of" for i in range(60_000))
+    sections = spark.createDataFrame([(1, 1, 1, text)], "doc_id long, page_no int, section_no int, content string")
+    words = spark.range(100_000).selectExpr("1L AS doc_id", "1 AS page_no", "CAST(id / 100 AS INT) AS line_no", "CAST(id % 100 AS INT) AS word_no", "'w' AS text", "CAST(id % 100 * 9 AS DOUBLE) AS x0",
+                                            "CAST(floor(id / 100) * 40 AS DOUBLE) AS top", "CAST(id % 100 * 9 + 6 AS DOUBLE) AS x1", "CAST(floor(id / 100) * 40 + 10 AS DOUBLE) AS bottom")
+    began = time.time()
+    assert numbers.number_candidates(sections, {"decimal": r"\d+\.\d+"}).count() == 60_000
+    assert layout.words_to_blocks(words).count() == 100_000
+    assert time.time() - began < 60
+
+
+def test_folds_equal_plain_aggregates(spark):
+    from sheetloom.functions.folds import fold_append
+
+    df = spark.createDataFrame([(list(range(n)),) for n in (0, 1, 511, 512, 513, 1300)], "xs array<int>")
+    step = lambda a, x: (F.struct((a["t"] + x).alias("t")), F.when(x % 3 == 0, F.array(a["t"])).otherwise(F.slice(F.array(x), 1, 0)))
+    out = df.select("xs", fold_append(F.col("xs"), F.struct(F.lit(0).alias("t")), "struct<t:int>", "int", step).alias("o")).collect()
+    for row in out:
+        total, expected = 0, []
+        for x in row.xs:
+            expected += [total] if x % 3 == 0 else []
+            total += x
+        assert row.o == expected
