@@ -21,22 +21,26 @@ def chunks(items: Column, size: int = CHUNK) -> Column:
     return let(items, lambda xs: F.transform(F.sequence(F.lit(0), last(xs)), lambda j: F.slice(xs, j * size + 1, F.lit(size))))
 
 
-def fold_append(items: Column, state: Column, state_type: str, item_type: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
-    """Fold from left with a struct ``state``; ``step`` gives the new state and an array to append.
+def fold_append(items: Column, state: Column, state_type: str, item_type: str, step: Callable[[Column, Column], tuple[Column, Column, Column]]) -> Column:
+    """Fold from left with a struct ``state``; ``step`` gives the new state, whether to append, and the item.
 
-    Items are taken in slices: within a slice the result is appended to directly,
-    and finished slices are appended as one element each.
+    A short array is folded directly.  A long one is taken in slices: within a slice
+    the result is appended to directly, and finished slices are appended as one element each.
     """
     inner = f"struct<s:{state_type},out:array<{item_type}>>"
     outer = f"struct<s:{state_type},out:array<array<{item_type}>>>"
+    none = F.array().cast(f"array<{item_type}>")
 
     def one(a: Column, x: Column) -> Column:
-        after, more = step(a["s"], x)
-        return F.struct(after.cast(state_type).alias("s"), F.concat(a["out"], more.cast(f"array<{item_type}>")).alias("out")).cast(inner)
+        after, keep, item = step(a["s"], x)
+        more = F.when(keep, F.concat(a["out"], F.array(item).cast(f"array<{item_type}>"))).otherwise(a["out"])
+        return F.struct(after.cast(state_type).alias("s"), more.alias("out")).cast(inner)
 
     def part(a: Column, c: Column) -> Column:
-        start = F.struct(a["s"].alias("s"), F.array().cast(f"array<{item_type}>").alias("out")).cast(inner)
+        start = F.struct(a["s"].alias("s"), none.alias("out")).cast(inner)
         return let(F.aggregate(c, start, one), lambda r: F.struct(r["s"].alias("s"), F.concat(a["out"], F.array(r["out"])).alias("out")).cast(outer))
 
+    short = lambda xs: F.aggregate(xs, F.struct(state.cast(state_type).alias("s"), none.alias("out")).cast(inner), one, lambda a: a["out"])
     first = F.struct(state.cast(state_type).alias("s"), F.array().cast(f"array<array<{item_type}>>").alias("out")).cast(outer)
-    return F.flatten(F.aggregate(chunks(items), first, part, lambda a: a["out"]))
+    long = lambda xs: F.flatten(F.aggregate(chunks(xs), first, part, lambda a: a["out"]))
+    return let(items, lambda xs: F.when(F.size(xs) <= CHUNK, short(xs)).otherwise(long(xs)))

@@ -65,9 +65,9 @@ def words_to_rows(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
         F.sort_array(F.collect_list("top")).alias("tops")
     )
 
-    def step(a: Column, t: Column) -> tuple[Column, Column]:
+    def step(a: Column, t: Column) -> tuple[Column, Column, Column]:
         anchor = F.when(t - a["anchor"] <= tolerance, a["anchor"]).otherwise(t)
-        return F.struct(anchor.alias("anchor")), F.array(F.struct(anchor.alias("anchor"), t.alias("top")))
+        return F.struct(anchor.alias("anchor")), F.lit(True), F.struct(anchor.alias("anchor"), t.alias("top"))
 
     state = F.struct(F.lit(None).cast("double").alias("anchor"))
     placed = runs.select(*PAGE, F.inline(fold_append(F.col("tops"), state, "struct<anchor:double>", "struct<anchor:double,top:double>", step)))
@@ -101,10 +101,9 @@ def tabular_regions(lines: DataFrame, min_rows: int = 2, width_slack: int = 2, x
     change = d.filter(F.col("hard") | (F.col("n") != p["n"])).groupBy(*PAGE, "run").agg(
         F.sort_array(F.collect_list(F.struct("row_no", "n"))).alias("cs")
     )
-    def step(a: Column, c: Column) -> tuple[Column, Column]:
+    def step(a: Column, c: Column) -> tuple[Column, Column, Column]:
         opens = a["width"].isNull() | (F.abs(c["n"] - a["width"]) > width_slack)
-        row = F.array(c["row_no"])
-        return F.struct(F.when(opens, c["n"]).otherwise(a["width"]).alias("width")), F.when(opens, row).otherwise(F.slice(row, 1, 0))
+        return F.struct(F.when(opens, c["n"]).otherwise(a["width"]).alias("width")), opens, c["row_no"]
 
     none = F.struct(F.lit(None).cast("bigint").alias("width"))
     opens = change.select(*PAGE, F.explode(fold_append(F.col("cs"), none, "struct<width:bigint>", "bigint", step)).alias("row_no"), F.lit(True).alias("open"))
@@ -294,7 +293,7 @@ def words_to_blocks(words: DataFrame) -> DataFrame:
     pages = words.groupBy(*PAGE).agg(F.sort_array(F.collect_list(item)).alias("ws"))
     kind = "struct<x0:double,top:double,x1:double,bottom:double,no:int>"
 
-    def step(b: Column, w: Column) -> tuple[Column, Column]:
+    def step(b: Column, w: Column) -> tuple[Column, Column, Column]:
         gap = w["x0"] - b["x1"]
         line = (F.abs(w["top"] - b["top"]) <= 5) & (gap <= 50)
         nxt = b["bottom"] + 2
@@ -306,7 +305,7 @@ def words_to_blocks(words: DataFrame) -> DataFrame:
             F.when(join, F.least(b["x0"], w["x0"])).otherwise(w["x0"]).alias("x0"), F.when(join, F.least(b["top"], w["top"])).otherwise(w["top"]).alias("top"),
             F.when(join, F.greatest(b["x1"], w["x1"])).otherwise(w["x1"]).alias("x1"), F.when(join, F.greatest(b["bottom"], w["bottom"])).otherwise(w["bottom"]).alias("bottom"),
             no.alias("no"),
-        ), F.array(no)
+        ), F.lit(True), no
 
     empty = F.lit(None).cast("double")
     first = F.struct(empty.alias("x0"), empty.alias("top"), empty.alias("x1"), empty.alias("bottom"), F.lit(0).alias("no"))

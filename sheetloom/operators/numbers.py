@@ -29,9 +29,8 @@ def matches(text: Column, pattern: str, ignore_case: bool = True) -> Column:
     parts = F.split(F.regexp_replace(clean, f"{flags}({pattern})", f"{OPEN}$1{CLOSE}"), f"[{OPEN}{CLOSE}]", -1)
     state = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("i"))
 
-    def step(a: Column, p: Column) -> tuple[Column, Column]:
-        item = F.array(F.struct(a["pos"].alias("start"), p.alias("text")))
-        return F.struct((a["pos"] + F.length(p)).alias("pos"), (a["i"] + 1).alias("i")), F.when(a["i"] % 2 == 1, item).otherwise(F.slice(item, 1, 0))
+    def step(a: Column, p: Column) -> tuple[Column, Column, Column]:
+        return F.struct((a["pos"] + F.length(p)).alias("pos"), (a["i"] + 1).alias("i")), a["i"] % 2 == 1, F.struct(a["pos"].alias("start"), p.alias("text"))
 
     return fold_append(parts, state, "struct<pos:int,i:int>", "struct<start:int,text:string>", step)
 
@@ -142,9 +141,9 @@ def resolve_overlaps(
 
     kind = "struct<start:int,prio:int,neg_len:int,fmt:string,text:string,value:double,confidence:double,context:string>"
 
-    def step(a: Column, m: Column) -> tuple[Column, Column]:
+    def step(a: Column, m: Column) -> tuple[Column, Column, Column]:
         keep = m["start"] >= a["end"]
-        return F.struct(F.when(keep, m["start"] - m["neg_len"]).otherwise(a["end"]).alias("end")), F.when(keep, F.array(m)).otherwise(F.slice(F.array(m), 1, 0))
+        return F.struct(F.when(keep, m["start"] - m["neg_len"]).otherwise(a["end"]).alias("end")), keep, m
 
     found = F.transform(F.transform(F.transform(candidate_array(content, patterns or fixed.NUMBERS_MAIN), placed), lowered), scored)
     ok = F.filter(found, lambda m: m["value"].isNotNull() & (m["confidence"] >= threshold))
