@@ -49,3 +49,11 @@ class Stored:
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     return Stored(df, label).df
+
+
+def collect_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of finished steps: it does so when the driver collects its garbage."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -321,7 +321,7 @@ def test_pieces_of_long_texts(monkeypatch, docs, plain):
     monkeypatch.setattr(op, "BUFFER", 1000)
     windows = [(at + k) for at, piece in op._pieces(text, 200) for k in range(len(piece) - 199)]
     assert windows == list(range(len(text) - 199))
-    owner, lo, hi, gram, stretch = op.anchors(np.frombuffer(text, np.uint8), np.array([0, len(text)]), 200)
+    owner, lo, hi, at, gram, stretch = op.anchors(np.frombuffer(text, np.uint8), np.array([0, len(text)]), 200)
     assert [p for a, b in zip(lo, hi) for p in range(a, b + 1)] == windows
 
 
