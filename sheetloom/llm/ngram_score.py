@@ -78,7 +78,20 @@ def _pack(distinct: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
     low = int(np.flatnonzero(planes.any(1)).max(initial=0)) + 1
     head = np.ascontiguousarray(planes[: min(low, 5)]).tobytes()
     tail = zlib.compress(np.ascontiguousarray(planes[min(low, 5) :]).tobytes(), 1)
-    return len(head).to_bytes(8, "little") + head + tail, zlib.compress(counts.astype(np.uint32).tobytes(), 1)
+    return len(head).to_bytes(8, "little") + head + tail, _pack_counts(counts)
+
+
+def _pack_counts(counts: np.ndarray) -> bytes:
+    """One byte each, most of them small and so well compressed; 255 stands for the next of the full counts behind."""
+    few = zlib.compress(np.minimum(counts, 255).astype(np.uint8).tobytes(), 6)
+    return len(few).to_bytes(8, "little") + few + counts[counts >= 255].astype(np.uint64).tobytes()
+
+
+def _unpack_counts(blob: bytes) -> np.ndarray:
+    size = int.from_bytes(blob[:8], "little")
+    counts = np.frombuffer(zlib.decompress(blob[8 : 8 + size]), np.uint8).astype(np.float64)
+    counts[counts == 255] = np.frombuffer(blob[8 + size :], np.uint64)
+    return counts
 
 
 def _unpack(blob: bytes) -> np.ndarray:
@@ -109,11 +122,11 @@ def _ask(order: int, ranges: int):
 def _total(asked: pa.Table) -> pa.Table:
     """Add up the counts of one range of names and answer every block in the order of its list."""
     lists = [_unpack(b) for b in asked["names"].to_pylist()]
-    counts = np.concatenate([np.frombuffer(zlib.decompress(c), np.uint32) for c in asked["counts"].to_pylist()])
+    counts = np.concatenate([_unpack_counts(c) for c in asked["counts"].to_pylist()])
     _, inverse = np.unique(np.concatenate(lists), return_inverse=True)
-    totals = np.bincount(inverse, counts)[inverse].astype(np.uint64)
+    totals = np.bincount(inverse, counts)[inverse]
     ends = np.cumsum([len(x) for x in lists])
-    answers = [zlib.compress(totals[e - len(x) : e].tobytes(), 1) for x, e in zip(lists, ends)]
+    answers = [_pack_counts(totals[e - len(x) : e]) for x, e in zip(lists, ends)]
     return pa.table({"block": asked["block"], "range": asked["range"], "totals": pa.array(answers, pa.binary())})
 
 
@@ -140,7 +153,7 @@ def _answer(order: int, total: int, least: int, discount: float):
         if len(place):
             _, inverse = np.unique(listed(names, place), return_inverse=True)
             by_range = sorted(zip(answers["range"].to_pylist(), answers["totals"].to_pylist()))
-            totals = np.concatenate([np.frombuffer(zlib.decompress(t), np.uint64) for _, t in by_range]).astype(np.float64)[inverse]
+            totals = np.concatenate([_unpack_counts(t) for _, t in by_range])[inverse]
             counts, at = [], 0
             for n in range(order):
                 within = place >= n
