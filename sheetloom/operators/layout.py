@@ -375,6 +375,7 @@ def section_title(text: Column, kind: Column) -> Column:
 
 def heading_level(text: Column, size: Column) -> Column:
     dots = F.length(text) - F.length(F.translate(text, ".", ""))
+    size = F.coalesce(size, F.lit(12.0))
     out = F.when(size >= 20, 1)
     for limit, level in ((16, 2), (14, 3), (12, 4), (10, 5), (8, 6)):
         out = out.when(size >= limit, level)
