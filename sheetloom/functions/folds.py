@@ -34,7 +34,7 @@ def fold_append(items: Column, state: Column, state_type: str, item_type: str, s
     def one(a: Column, x: Column) -> Column:
         after, keep, item = step(a["s"], x)
         more = F.when(keep, F.concat(a["out"], F.array(item).cast(f"array<{item_type}>"))).otherwise(a["out"])
-        return F.struct(after.cast(state_type).alias("s"), more.alias("out")).cast(inner)
+        return F.struct(after.alias("s"), more.alias("out")).cast(inner)
 
     def part(a: Column, c: Column) -> Column:
         start = F.struct(a["s"].alias("s"), none.alias("out")).cast(inner)
