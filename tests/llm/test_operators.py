@@ -409,3 +409,42 @@ def test_line_dedup(spark, docs, plain, empty, run):
     assert set(found.columns) == set(docs.columns)
     assert line_dedup(docs, run).count() == len(plain) and line_dedup(empty, run).count() == 0
     assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+# near duplicates of the pipeline
+
+
+def test_similar_texts_are_one_document(spark):
+    """The stage links 5-word Jaccard of 0.8 or more and nothing less, against all pairs."""
+    import random
+
+    import duckdb
+
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    rows, base = [], [rng.choice(words) for _ in range(120)]
+    for n in range(60):
+        text = list(base) if n < 30 else [rng.choice(words) for _ in range(100)]
+        for at in rng.sample(range(len(text)), rng.randint(0, 4)):
+            text[at] = rng.choice(words)
+        rows.append((n, " ".join(text)))
+    rows += [(100 + i, t) for i, t in enumerate([None, "", " \n", "one", "one two", "ONE two", "x " * 3000])]
+    rows += duckdb.sql("SELECT 1000 + doc_id, text FROM '/root/testdata/sf0.001/documents.parquet'").fetchall()
+    rows.sort()
+
+    def grams(text):
+        w = re.findall("[^\x20\x09-\x0d]+", lower(text))
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [grams(t) for _, t in rows]
+    alike = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    near = [[j for j, b in enumerate(sets) if alike(a, b)] for a in sets]
+    label = list(range(len(rows)))
+    while (new := [min(label[j] for j in n) for n in near]) != label:
+        label = new
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "")
+    assert found.columns == docs.columns
+    assert sorted(r.doc_id for r in found.collect()) == sorted({rows[k][0] for k in label})
