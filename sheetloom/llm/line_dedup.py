@@ -6,7 +6,9 @@ exactly for equal runs.  Ranks at length 1 come from line digests; the rank at
 2L comes from the pair of ranks at p and p + L, grouped by Spark.  Positions whose run
 is unique leave after every round, for no longer run there can repeat; doubling
 ends at the threshold.  Neighbouring positions that repeat an earlier run form the
-interval of a maximal repeated run, and its lines are deleted.
+interval of a maximal repeated run, and its lines are deleted.  Further doubling
+would delete the same lines: a longer repeated run is covered by repeated runs of
+the threshold.  Lines of more than ``long_words`` words count as runs by themselves.
 
 All of it is DataFrame operations.
 """
@@ -20,6 +22,8 @@ from sheetloom.llm.store import Stored
 from sheetloom.llm.text import filled
 
 MIN_LINES = 2
+#: For the pipeline: a later copy of a single line of more words goes as well.
+LONG_WORDS = 50
 FIRST = -(1 << 63)
 PLACE = ["__id", "__key", "i"]
 
@@ -41,10 +45,17 @@ def _ranked(positions: DataFrame, by: list[str]) -> Stored:
     return found
 
 
-def repeated_starts(docs: DataFrame, min_lines: int) -> Stored:
-    """Positions (__id, __key, i) at which a run of ``min_lines`` lines starts, with the first position of that run."""
+def repeated_starts(docs: DataFrame, min_lines: int, long_words: int | None = None) -> tuple[Stored, Stored | None]:
+    """Positions (__id, __key, i) at which a run of ``min_lines`` lines starts, with the first position of that run.
+
+    With ``long_words`` also the positions of single repeated lines of more words.
+    """
     lines = _named(docs).select("__id", "__key", F.posexplode(F.split(filled(F.col("text")), "\n", -1)).alias("i", "line"))
-    now = _ranked(lines.select(*PLACE, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2")), ["h1", "h2"])
+    hashes = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2")]
+    now = _ranked(lines.select(*PLACE, *hashes), ["h1", "h2"])
+    alone = None
+    if long_words is not None:
+        alone = _ranked(lines.where(F.regexp_count("line", F.lit(r"\S+")) > long_words).select(*PLACE, *hashes), ["h1", "h2"])
     length = 1
     while length < min_lines:
         step = min(length, min_lines - length)
@@ -52,7 +63,7 @@ def repeated_starts(docs: DataFrame, min_lines: int) -> Stored:
         longer = _double(now, after)
         now.drop()
         now, length = longer, length + step
-    return now
+    return now, alone
 
 
 def _double(now: Stored, after: DataFrame) -> Stored:
@@ -62,9 +73,11 @@ def _double(now: Stored, after: DataFrame) -> Stored:
     return longer
 
 
-def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int | None = None) -> DataFrame:
     """Documents with later copies of repeated runs of ``min_lines`` or more lines deleted from ``text``.
 
+    With ``long_words`` later copies of single lines of more words go too.
+
     Appends n_lines (of the input text) and runs (deleted line ranges, end exclusive,
     in order); columns of these names are replaced, others stay.  Documents come in
     the order of doc_id (null first), then of the hash of their text; the first copy of a run in that order stays, also
@@ -72,19 +85,23 @@ def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     are one document and get the same answer.  A null text has one empty line, so it
     stays null.  Blank lines are lines.  A text of which nothing is left is empty.
     """
-    starts = repeated_starts(docs.select("doc_id", "text"), min_lines)
-    later = starts.df.where(F.struct(*PLACE) > F.col("rank")).select(*PLACE).distinct()
-    # Starts at most min_lines apart touch or overlap: they are one run.
-    islands = later.groupBy("__id", "__key").agg(F.array_sort(F.collect_list("i")).alias("at")).select(
-        "__id", "__key", "at", F.filter(F.sequence(F.lit(0), F.size("at") - 1), lambda k: (k == 0) | (F.get("at", k) - F.get("at", k - 1) > min_lines)).alias("heads")
+    starts, alone = repeated_starts(docs.select("doc_id", "text"), min_lines, long_words)
+    later = lambda found, size: found.df.where(F.struct(*PLACE) > F.col("rank")).select(*PLACE, F.lit(size).alias("size"))
+    every = later(starts, min_lines) if alone is None else later(starts, min_lines).unionByName(later(alone, 1))
+    # Deleted lines that touch are one run.
+    lines = F.flatten(F.collect_list(F.sequence("i", F.col("i") + F.col("size") - 1)))
+    islands = every.distinct().groupBy("__id", "__key").agg(F.array_sort(F.array_distinct(lines)).alias("at")).select(
+        "__id", "__key", "at", F.filter(F.sequence(F.lit(0), F.size("at") - 1), lambda k: (k == 0) | (F.get("at", k) - F.get("at", k - 1) > 1)).alias("heads")
     )
     last = F.concat(F.slice("heads", 2, F.greatest(F.size("heads") - 1, F.lit(0))), F.array(F.size("at")))
     runs = F.transform(
         F.arrays_zip(F.col("heads").alias("head"), last.alias("stop")),
-        lambda z: F.struct(F.get("at", z["head"]).cast("long").alias("start"), (F.get("at", z["stop"] - 1) + min_lines).cast("long").alias("end")),
+        lambda z: F.struct(F.get("at", z["head"]).cast("long").alias("start"), (F.get("at", z["stop"] - 1) + 1).cast("long").alias("end")),
     )
     deleted = Stored(islands.select("__id", "__key", runs.alias("__runs")), "runs")
     starts.drop()
+    if alone is not None:
+        alone.drop()
     joined = _named(docs.drop("n_lines", "runs")).join(deleted.df.hint("merge"), ["__id", "__key"], "left")
     empty = F.expr("CAST(array() AS array<struct<start:bigint,end:bigint>>)")
     joined = joined.withColumns({"__lines": F.split(filled(F.col("text")), "\n", -1), "__runs": F.coalesce("__runs", empty)})

@@ -411,6 +411,17 @@ def test_line_dedup(spark, docs, plain, empty, run):
     assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_long_single_lines(spark):
+    """A later copy of a single line of more than ``long_words`` words goes, a short one stays; touching runs are one."""
+    from sheetloom.llm.line_dedup import line_dedup
+
+    long, short = " ".join(f"w{i}" for i in range(51)), " ".join(f"w{i}" for i in range(50))
+    rows = [(1, f"a\n{long}\nb"), (2, f"c\n{long}\nd\n{short}"), (3, f"e\n{short}\n{long}"), (4, f"p\nq\n{long}"), (5, f"p\nq\n{long}\nr"), (6, long)]
+    found = {r.doc_id: r for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 2, 50).collect()}
+    assert [found[i].text for i in range(1, 7)] == [rows[0][1], f"c\nd\n{short}", f"e\n{short}", "p\nq", "r", ""]
+    assert [[tuple(x) for x in found[i].runs] for i in (2, 5)] == [[(1, 2)], [(0, 3)]]
+
+
 # near duplicates of the pipeline
 
 
