@@ -2,7 +2,8 @@
 
 Base matches are the seeds.  Every token with a digit or an at-sign is an
 instance; the shape of a token, alone and with the word on its left or right,
-is a lexical pattern.  Spark scores the graph of patterns and instances in rounds: a
+is a lexical pattern, and so is that word with the coarse class of the token, so
+that identifiers of another shape are found in a known context.  Spark scores the graph of patterns and instances in rounds: a
 pattern is worth the mean score of its distinct instances, an instance the best of its
 accepted patterns.  Tokens outside base matches that reach the threshold are
 added as identifiers of the kind their patterns lead to.
@@ -96,11 +97,18 @@ def matches(docs: DataFrame) -> Stored:
     return Stored(placed.where(_valid(F.col("kind"), F.col("match"))).select(*DOC, "kind", "start", "end", "match", "left", "right"), "matches")
 
 
+def _context(value: str) -> list[Column]:
+    """The word on the left or right with the coarse class of a value: an at-sign, letters and digits, or digits; no word, no pattern."""
+    kind = F.when(F.contains(F.col(value), F.lit("@")), "@").when(F.col(value).rlike(r"\p{L}"), "a").otherwise("9")
+    return [F.concat_ws(" ", F.lit(side), kind, F.nullif(F.col(word), F.lit(""))) for side, word in (("l", "left"), ("r", "right"))]
+
+
 def instances(found: DataFrame, least: int = 6) -> DataFrame:
     """Tokens with their value, patterns and, where a base match covers them, its kind as ``seed``.
 
     A token needs ``least`` letters or digits and five digits or an at-sign to be an
-    identifier; closing punctuation is cut off.
+    identifier; closing punctuation is cut off.  Base matches that are not one token
+    are instances by their context, too.
     """
     base = F.col("kind") != "token"
     by_place = Window.partitionBy(*DOC).orderBy("start")
@@ -115,22 +123,24 @@ def instances(found: DataFrame, least: int = 6) -> DataFrame:
         (F.char_length(F.regexp_replace("value", "[^0-9]", "")) >= 5) | F.col("value").contains("@")
     )
     patterns = F.array(
-        F.concat_ws(" ", F.lit("S"), "shape"), F.concat_ws(" ", F.lit("L"), F.col("left"), "shape"), F.concat_ws(" ", F.lit("R"), "shape", F.col("right"))
+        F.concat_ws(" ", F.lit("S"), "shape"), F.concat_ws(" ", F.lit("L"), F.col("left"), "shape"), F.concat_ws(" ", F.lit("R"), "shape", F.col("right")), *_context("value")
     )
-    return rows.withColumn("seed", seed).withColumn("shape", shape).where(strong).select(*DOC, "start", "end", F.lower("value").alias("value"), "seed", patterns.alias("patterns"))
+    whole = found.where(base).select(*DOC, "start", "end", F.lower("match").alias("value"), F.col("kind").alias("seed"), F.array(*_context("match")).alias("patterns"))
+    tokens = rows.withColumn("seed", seed).withColumn("shape", shape).where(strong).select(*DOC, "start", "end", F.lower("value").alias("value"), "seed", patterns.alias("patterns"))
+    return tokens.unionByName(whole.where(F.col("value").rlike(rf"[{TOKEN_CHARS}]")))
 
 
 def bootstrap(found: DataFrame, rounds: int = 3, threshold: float = 0.8, support: int = 3) -> DataFrame:
     """(value, kind) of unseen identifiers: the values that accepted patterns lead to after ``rounds``.
 
     A pattern is accepted with a confidence of ``threshold`` and at least ``support``
-    distinct seeds.  Confidence is the sum of its instances' scores over their number plus one.
+    distinct values that are seeds or reached the threshold in an earlier round.  Confidence is the sum of its instances' scores over their number plus one.
     """
     edges = Stored(found.select("value", F.explode("patterns").alias("pattern")).distinct(), "edges")
     scores = Stored(found.where("seed IS NOT NULL").groupBy("value", F.col("seed").alias("kind")).agg(F.lit(1.0).alias("score"), F.lit(True).alias("is_seed")), "scores")
     sizes = Stored(edges.df.groupBy("pattern").agg(F.count("*").alias("n")), "sizes")
     for _ in range(rounds):
-        by_kind = edges.df.join(scores.df, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("total"), F.sum(F.col("is_seed").cast("int")).alias("seeds"))
+        by_kind = edges.df.join(scores.df, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("total"), F.sum((F.col("is_seed") | (F.col("score") >= threshold)).cast("int")).alias("seeds"))
         trusted = by_kind.join(sizes.df, "pattern").withColumn("confidence", F.col("total") / (F.col("n") + 1)).where((F.col("confidence") >= threshold) & (F.col("seeds") >= support))
         accepted = Stored(trusted.select("pattern", "kind", "confidence"), "accepted")
         reached = edges.df.join(accepted.df, "pattern").groupBy("value", "kind").agg(F.max("confidence").alias("score"), F.lit(False).alias("is_seed"))

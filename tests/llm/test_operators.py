@@ -289,6 +289,19 @@ def test_context_finds_unseen_identifiers(spark):
     assert [text[s.start : s.end] for s in rows[100] if not s.base] in ([], ["someone99999@intranet"])
 
 
+def test_context_reaches_other_shapes(spark):
+    """A known context leads to identifiers of another shape, and those to contexts without seeds; innocent tokens stay."""
+    from sheetloom.llm.pii import personal_data
+
+    rows = [(i, f"note {i} reach user{i}@mail.org soon") for i in range(200)] + [(300 + i, f"phone +1 (555) 123-45{i:02d} today") for i in range(40)]
+    rows += [(400, "please reach someone99999@intranet now"), (401, "my phone 0170-1234567 rings"), (402, "order a1b2c3d4e5f6 of reach 1234567 and part 7654321 came")]
+    rows += [(500 + 100 * k + i, f"{word} a.{'x' * (i + 1)}{i}@{'y' * (i + 1)} ok") for k, word in enumerate(("reach", "ping")) for i in range(30)] + [(700, "ping Zed-77777@corp yes")]
+    found = {r.doc_id: r.spans for r in personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = dict(rows)
+    new = {i: [(s.kind, text[i][s.start : s.end]) for s in found[i] if not s.base] for i in (400, 401, 402, 700)}
+    assert new == {400: [("email", "someone99999@intranet")], 401: [("phone", "0170-1234567")], 402: [], 700: [("email", "Zed-77777@corp")]}
+
+
 # op7
 
 
