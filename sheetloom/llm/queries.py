@@ -153,5 +153,42 @@ def op2_lm_scoring(spark, folder):
     return ngram_scores(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_lm_scoring, op3_simhash, op4_bpe, op5_toxicity, op6_pii, op7_substring_dedup, op8_language, op9_decontaminate, op10_line_dedup)}
-ORACLES = {"op1_exact_dedup": OP1, "op9_decontaminate": OP9, "op10_line_dedup": OP10}
+def op11_collocations(spark, folder):
+    from sheetloom.llm.collocations import collocations
+
+    return collocations(table(spark, folder, "documents").select("doc_id", "text", "lang"))
+
+
+# All phrases of one to three words counted at once.
+OP11 = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+g AS MATERIALIZED (SELECT lang, m, array_to_string(ws[k:k + m - 1], ' ') AS phrase, count(*) AS f
+      FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS k FROM w, (VALUES (1), (2), (3)) AS s(m) WHERE len(ws) >= m) GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM g WHERE m > 1 AND f >= 10),
+cuts AS (SELECT c.lang, c.m, c.phrase, a, k, array_to_string(ws[1:k], ' ') AS p, array_to_string(ws[k + 1:c.m], ' ') AS q FROM c, (VALUES (1), (2)) AS s(k) WHERE k < c.m),
+scored AS (SELECT cuts.lang, cuts.m, cuts.phrase, a, k, gl.f AS l, gr.f AS r, CAST((1000000::HUGEINT * a * a) // (gl.f::HUGEINT * gr.f) AS BIGINT) AS score
+      FROM cuts JOIN g gl ON gl.lang = cuts.lang AND gl.phrase = cuts.p JOIN g gr ON gr.lang = cuts.lang AND gr.phrase = cuts.q),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT lang, array_to_string(ws[o:o + 1], ' ') AS phrase, max(a) AS longer FROM c, (VALUES (1), (2)) AS s(o) WHERE m = 3 GROUP BY ALL)
+SELECT best.lang, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, best.phrase) AS rank, best.phrase, a, l, r, n, score
+FROM best JOIN n ON n.lang = best.lang LEFT JOIN inside ON m = 2 AND inside.lang = best.lang AND inside.phrase = best.phrase
+WHERE longer IS NULL OR 100 * longer < 50 * a QUALIFY rank <= 2000
+"""
+
+
+def op12_spelling(spark, folder):
+    from sheetloom.llm.spelling import variants
+
+    return variants(table(spark, folder, "documents"))
+
+
+def op13_fingerprints(spark, folder):
+    from sheetloom.llm.fingerprints import fingerprints
+
+    return fingerprints(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_lm_scoring, op3_simhash, op4_bpe, op5_toxicity, op6_pii, op7_substring_dedup, op8_language, op9_decontaminate, op10_line_dedup, op11_collocations, op12_spelling, op13_fingerprints)}
+ORACLES = {"op1_exact_dedup": OP1, "op9_decontaminate": OP9, "op10_line_dedup": OP10, "op11_collocations": OP11}
