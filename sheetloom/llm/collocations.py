@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheetloom.llm.bloom import Filter
 from sheetloom.llm.store import Stored, new_path
 from sheetloom.llm.text import SALTS, filled, pieces
 
@@ -68,45 +69,21 @@ def _word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
 
 
-def _places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    return (hashes % np.uint64(bits)).astype(np.int64), ((hashes >> np.uint64(32)) * np.uint64(0x9E3779B1) % np.uint64(bits)).astype(np.int64)
+def _phrase_hashes(phrases: DataFrame) -> DataFrame:
+    """Column ``hash`` of (lang, phrase) rows, as tasks compute it."""
 
+    def run(batches):
+        for batch in batches:
+            langs, texts = (batch.column(i).to_pylist() for i in (0, 1))
+            found = np.zeros(len(langs), np.uint64)
+            split = [t.encode().split(b" ") for t in texts]
+            for n in range(max(map(len, split), default=0)):
+                rows = [i for i, ws in enumerate(split) if len(ws) > n]
+                one = np.fromiter((xxhash.xxh64_intdigest(split[i][n], xxhash.xxh64_intdigest(langs[i])) for i in rows), np.uint64, len(rows))
+                found[rows] = _joined(found[rows], one) if n else one
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["hash"])
 
-class Filter:
-    """A Bloom filter of a fixed number of bits, kept as 64-bit words."""
-
-    def __init__(self, bits: int):
-        self.bits, self.words, self.filled = bits, np.zeros(bits >> 6, np.uint64), False
-
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.ones(len(hashes), bool)
-        for place in _places(hashes, self.bits):
-            out &= (self.words[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
-        return out
-
-    def add(self, phrases: DataFrame) -> None:
-        """Add (lang, phrase) rows; at most one row per 64-bit word reaches the driver."""
-        bits = self.bits
-
-        def run(batches):
-            for batch in batches:
-                langs, texts = (batch.column(i).to_pylist() for i in (0, 1))
-                found = np.zeros(len(langs), np.uint64)
-                split = [t.encode().split(b" ") for t in texts]
-                for n in range(max(map(len, split), default=0)):
-                    rows = [i for i, ws in enumerate(split) if len(ws) > n]
-                    one = np.fromiter((xxhash.xxh64_intdigest(split[i][n], xxhash.xxh64_intdigest(langs[i])) for i in rows), np.uint64, len(rows))
-                    found[rows] = _joined(found[rows], one) if n else one
-                place = np.concatenate(_places(found, bits))
-                word, inverse = np.unique(place >> 6, return_inverse=True)
-                value = np.zeros(len(word), np.uint64)
-                np.bitwise_or.at(value, inverse, np.uint64(1) << (place & 63).astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(value.view(np.int64))], names=["word", "bits"])
-
-        made = phrases.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-        if made.num_rows:
-            self.words[made["word"].to_numpy()] |= made["bits"].to_numpy().view(np.uint64)
-            self.filled = True
+    return phrases.select("lang", "phrase").mapInArrow(run, "hash long")
 
 
 def _buffer_counts(lang: str, words: list[bytes], sizes: list[int], filters: dict[int, Filter]) -> pa.RecordBatch:
@@ -219,7 +196,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, s
         state = after
         for n in sizes:
             if n < longest:
-                filters[n].add(state.df.where((F.col("size") == n) & (F.col("reached") == tick)).select("lang", "phrase"))
+                filters[n].add(_phrase_hashes(state.df.where((F.col("size") == n) & (F.col("reached") == tick))))
             if tick == n * shards - 1:  # every phrase of this size has had its cycle
                 whole = state.df.where(F.col("size") == n)
                 if n == 1:
