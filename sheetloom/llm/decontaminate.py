@@ -78,7 +78,7 @@ def tables(items: list[tuple[object, str | None]], window: int) -> list[WuManber
     for item_id, text in items:
         for words, owner in patterns_of(item_id, text, window):
             owners = by_length[len(words)].setdefault(words, [])
-            if owner not in owners:
+            if owner is not None and owner not in owners:
                 owners.append(owner)
     return [WuManber(length, found) for length, found in sorted(by_length.items())]
 
@@ -126,14 +126,15 @@ def blocks_of(benchmark: DataFrame, block_words: int):
     n = max(1, int(total // block_words) + 1)
     for k in range(n):
         part = weighed.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).select("item_id", "text")
-        yield n, [(r.item_id, r.text) for r in part.collect() if r.item_id is not None]
+        yield n, [(r.item_id, r.text) for r in part.collect() ]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, text: str = "text") -> DataFrame:
     """Append n_words, hit_spans (merged word ranges, end exclusive) and hit_items (sorted ids) to every document.
 
     An item of at least ``window`` words gives all its windows, a shorter one is a
-    single window, one without words gives none; so do items without an id.  A null text has no words.  Repeated
+    single window, one without words gives none.  The windows of an item without an id
+    are hit like others, but give no item.  A null text has no words.  Repeated
     items count under each of their ids.  Documents keep their columns; columns of
     those three names are replaced.  The benchmark is taken in blocks of
     ``block_words`` (upper estimate), each broadcast in turn: its size is bounded

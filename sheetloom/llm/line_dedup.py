@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheetloom.llm.store import Stored
-from sheetloom.llm.text import filled
+from sheetloom.llm.text import filled, set_apart
 
 MIN_LINES = 2
 #: For the pipeline: a later copy of a single line of more words goes as well.
@@ -52,10 +52,13 @@ def repeated_starts(docs: DataFrame, min_lines: int, long_words: int | None = No
     """
     lines = _named(docs).select("__id", "__key", F.posexplode(F.split(filled(F.col("text")), "\n", -1)).alias("i", "line"))
     hashes = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2")]
-    now = _ranked(lines.select(*PLACE, *hashes), ["h1", "h2"])
-    alone = None
-    if long_words is not None:
-        alone = _ranked(lines.where(F.regexp_count("line", F.lit(r"\S+")) > long_words).select(*PLACE, *hashes), ["h1", "h2"])
+    long = F.lit(False) if long_words is None else F.regexp_count("line", F.lit(r"\S+")) > long_words
+    # Rows that repeat doc_id and text are one document: a position counts once, however often they come.
+    every = lines.select(*PLACE, *hashes, long.alias("long")).groupBy(*PLACE).agg(*(F.max(c).alias(c) for c in ("h1", "h2", "long")))
+    positions = Stored(every, "positions")
+    now = _ranked(positions.df.select(*PLACE, "h1", "h2"), ["h1", "h2"])
+    alone = None if long_words is None else _ranked(positions.df.where("long").select(*PLACE, "h1", "h2"), ["h1", "h2"])
+    positions.drop()
     length = 1
     while length < min_lines:
         step = min(length, min_lines - length)
@@ -102,7 +105,8 @@ def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int | No
     starts.drop()
     if alone is not None:
         alone.drop()
-    joined = _named(docs.drop("n_lines", "runs")).join(deleted.df.hint("merge"), ["__id", "__key"], "left")
+    apart, back = set_apart(docs.drop("n_lines", "runs"), "doc_id", "text")
+    joined = _named(apart).join(deleted.df.hint("merge"), ["__id", "__key"], "left")
     empty = F.expr("CAST(array() AS array<struct<start:bigint,end:bigint>>)")
     joined = joined.withColumns({"__lines": F.split(filled(F.col("text")), "\n", -1), "__runs": F.coalesce("__runs", empty)})
     edges = F.arrays_zip(
@@ -110,4 +114,4 @@ def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int | No
     )
     kept = F.flatten(F.transform(edges, lambda e: F.slice("__lines", (e["start"] + 1).cast("int"), (e["end"] - e["start"]).cast("int"))))
     text = F.when(F.size("__runs") == 0, F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return joined.withColumns({"text": text, "n_lines": F.size("__lines").cast("long"), "runs": F.col("__runs")}).select(*(F.col(f"`{c}`") for c in docs.drop("n_lines", "runs").columns), "n_lines", "runs")
+    return back(joined.withColumns({"text": text, "n_lines": F.size("__lines").cast("long"), "runs": F.col("__runs")}), "n_lines", "runs")

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from sheetloom.llm.components import components
 from sheetloom.llm.store import Stored
-from sheetloom.llm.text import filled, pieces
+from sheetloom.llm.text import filled, pieces, set_apart
 
 BITS = 64
 RADIUS = 3
@@ -179,4 +179,5 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 def without_near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """One document of each component, with all its columns."""
     kept = Stored(near_duplicates(docs, shingle).where("kept").select("__id", "__key").distinct(), "kept")
-    return keyed(docs).join(kept.df.hint("merge"), ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"]).drop("__id", "__key")
+    apart, back = set_apart(docs, "doc_id", "text")
+    return back(keyed(apart).join(kept.df.hint("merge"), ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"]))

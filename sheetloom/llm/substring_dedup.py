@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheetloom.llm.store import Stored, collect_shuffles
-from sheetloom.llm.text import filled, pieces
+from sheetloom.llm.text import filled, pieces, set_apart
 
 LENGTH = 200
 GRAM = 64
@@ -269,7 +269,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     if not LONG <= length <= 2 * LONG:
         raise ValueError(f"length must be from {LONG} to {2 * LONG}")
-    rest = docs.drop("n_bytes", "removed", "kept")
+    rest, back = set_apart(docs.drop("n_bytes", "removed", "kept"), "text")
     found = repeated_starts(docs.select("text"), length)
     both = _keyed(rest).join(found.df.hint("merge"), DOC, "left").withColumn("__bytes", filled(F.col("text")).cast("binary")).drop(*DOC)
 
@@ -288,4 +288,4 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in own), pa.array(sizes, pa.int64()), pa.array(removed, span), pa.array(kept, pa.binary())], names=[*(batch.schema.names[i] for i in own), "n_bytes", "removed", "kept"])
 
     schema = both.drop("__bytes", "__runs").selectExpr("*", "CAST(0 AS BIGINT) AS n_bytes", "CAST(array() AS array<struct<start:bigint,end:bigint>>) AS removed", "CAST('' AS BINARY) AS kept").schema
-    return both.mapInArrow(run, schema)
+    return back(both.mapInArrow(run, schema), "n_bytes", "removed", "kept")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def set_apart(docs: DataFrame, *needed: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """``docs`` with all but the ``needed`` columns under names that no operator uses, and the way back to its own columns (and more)."""
+    names = {c: f"__in{k}" for k, c in enumerate(docs.columns) if c not in needed}
+    apart = docs.select(*(F.col(f"`{c}`").alias(names.get(c, c)) for c in docs.columns))
+    return apart, lambda found, *more: found.select(*(F.col(names.get(c, f"`{c}`")).alias(c) for c in docs.columns), *more)
+
+
 def pieces(batches):
     """Arrow batches in slices of a few rows, so that long texts do not pile up as Python objects."""
     for batch in batches:

@@ -33,6 +33,8 @@ PATTERNS = {
     "address": re.compile(r"\b(?:you|du|tu|toi|vous|usted) (?:are|bist|es|êtes|eres)\b", re.I),
     "stretched": re.compile(r"(\w)\1{3,}"),
 }
+#: Hashes under which two texts must have the same smallest word to count as copies in training.
+COPY_HASHES = 4
 
 
 def terms_of(word: str) -> list[str]:
@@ -126,7 +128,7 @@ def _chosen(labels: DataFrame, rows: int) -> tuple[DataFrame, float]:
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, least: int = 4, significant: float = 3.5, odds_least: float = 6, top_terms: int = 4000, voters: int = 32) -> Model:
     """Fit on at most ``sample_rows`` labelled rows; held-out rows are never read for labels.
 
-    Copies and near copies (same smallest word hash) count once, or the plain words
+    Copies and near copies (the same smallest word under COPY_HASHES hashes) count once, or the plain words
     of a much copied toxic text would look toxic.  Counts cover every term of the sample.  A term needs ``least`` documents and a
     lean of ``significant`` standard deviations to the toxic class with odds of at
     least ``odds_least``, so that a language's common words stay out; the strongest
@@ -137,7 +139,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, least: in
     if not share or share == 1:
         return Model({}, -40.0)
     texts = docs.select("doc_id", filled(F.col("text")).alias("text")).join(F.broadcast(ids), "doc_id")  # ids: sample_rows at most
-    smallest = F.array_min(F.transform(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.xxhash64(w)))
+    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
+    smallest = F.array(*(F.array_min(F.transform(words, lambda w, k=k: F.xxhash64(F.lit(k), w))) for k in range(COPY_HASHES)))
     sample = Stored(texts.groupBy("toxic", smallest.alias("copies")).agg(F.min(F.struct("doc_id", "text"))["text"].alias("text")), "toxicity")
 
     def terms(batches):

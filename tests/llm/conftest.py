@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-EXTRA = "digest keep_id group_size salt ids decoded hit_spans hit_items n_words score lang_pred accepted fingerprint runs n_lines line kept removed n_bytes i h1 gram rank kind block range value pattern toxic term"
+EXTRA = "digest keep_id group_size salt ids decoded hit_spans hit_items n_words score lang_pred accepted fingerprint runs n_lines line kept removed n_bytes i h1 gram rank kind block range value pattern toxic term __id __key __k1 __k2 __runs __lines __bytes __in0 __in3 prefix"
 
 
 def texts() -> list[str | None]:

@@ -377,7 +377,8 @@ def brute_hits(text, items, window=10):
         for i in range(len(w) - m + 1):
             if tuple(w[i : i + m]) in wanted:
                 hit |= set(range(i, i + m))
-                owners.add(str(item))
+                if item is not None:
+                    owners.add(str(item))
     return len(w), len(hit), tuple(sorted(owners))
 
 
@@ -386,7 +387,7 @@ def test_decontaminate(spark, docs, plain, empty, block_words):
     from sheetloom.llm.decontaminate import decontaminate
 
     long = plain[13][1].split()
-    items = [(1, " ".join(long[15:40])), (2, "A!b"), (3, None), (4, "..."), (5, " ".join(long[20:34]).upper()), (6, "shared-line, three"), (7, "word word word"), (7, "ab"), (8, "never there at all in any text whatsoever you look at")]
+    items = [(1, " ".join(long[15:40])), (2, "A!b"), (3, None), (4, "..."), (5, " ".join(long[20:34]).upper()), (6, "shared-line, three"), (7, "word word word"), (7, "ab"), (None, "shared line one"), (None, " ".join(long[2:13])), (8, "never there at all in any text whatsoever you look at")]
     bench = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 AS weight", "2 AS n")
     found = decontaminate(docs, bench, block_words=block_words)
     same([(r.doc_id, r.n_words, sum(s.end - s.start for s in r.hit_spans), tuple(r.hit_items)) for r in found.collect()], [(i, *brute_hits(t, items)) for i, t in plain])
@@ -472,3 +473,36 @@ def test_similar_texts_are_one_document(spark):
     found = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "")
     assert found.columns == docs.columns
     assert sorted(r.doc_id for r in found.collect()) == sorted({rows[k][0] for k in label})
+
+
+def test_template_brings_no_pairs(spark, monkeypatch):
+    """Documents of one template and half their own words meet nowhere; those of four fifths template meet in tiles."""
+    import random
+
+    from sheetloom.llm import similar as op
+
+    seen = []
+    real = op._checked
+    monkeypatch.setattr(op, "_checked", lambda pairs, *a: seen.append(pairs.distinct().count()) or real(pairs, *a))
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(4000)]
+    base = [rng.choice(words) for _ in range(120)]
+    rows = [(i, " ".join(base + [rng.choice(words) for _ in range(60)])) for i in range(300)]
+    frame = lambda r: spark.createDataFrame(r, "doc_id long, text string").repartition(3)
+    assert op.without_similar(frame(rows)).count() == 300 and sum(seen) < 300
+    monkeypatch.setattr(op, "TILE", 7)
+    rows = [(i, " ".join(base[:110] + [rng.choice(words) for _ in range(10 + i % 16)])) for i in range(120)] + [(500 + i, t) for i, (_, t) in enumerate(rows[:40])]
+    from tests.llm.test_queries import kept_of_similar
+
+    assert {r.doc_id for r in op.without_similar(frame(rows)).collect()} == kept_of_similar(rows)
+
+
+def test_repeated_rows_are_one_document_of_lines(spark):
+    """Many rows that repeat doc_id and text give as many line positions as one."""
+    from sheetloom.llm.line_dedup import line_dedup, repeated_starts
+
+    rows = [(7, "a\nb\nc\nd")] * 600 + [(8, "a\nb\nx")] + [(None, "a\nb")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    starts, _ = repeated_starts(docs, 2)
+    assert starts.df.count() == 3
+    assert {(r.doc_id, r.text) for r in line_dedup(docs).collect()} == {(None, "a\nb"), (7, "c\nd"), (8, "x")}
