@@ -20,15 +20,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, rows_per_file: int = 100_000) -> DataFrame:
     """The same rows read back from a Parquet table in the shared folder.
 
-    Unlike cached blocks the copy survives lost executors, and later branches
+    Files hold ``rows_per_file`` rows at most, so that later scans spread over all cores
+    however few tasks wrote the table.  Unlike cached blocks the copy survives lost executors, and later branches
     still get column pruning and pushed filters.  It is deleted when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

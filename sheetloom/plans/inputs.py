@@ -180,13 +180,15 @@ def duck_text(name: str) -> str:
 
 # Derived inputs that stand for stored tables: written once per session and folder, as a corpus would be.
 STORED = {"cells", "wide", "words", "sections"}
+#: Rows of a file of long texts; rows of other tables are short.
+TEXT_ROWS = {"sections": 10_000}
 _WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def _stored(spark: SparkSession, folder: str, name: str, df: DataFrame) -> DataFrame:
     key = (spark.sparkContext.applicationId, folder, name)
     if key not in _WRITTEN:
-        _WRITTEN[key] = durable(df)
+        _WRITTEN[key] = durable(df, TEXT_ROWS.get(name, 100_000))
     return _WRITTEN[key]
 
 
