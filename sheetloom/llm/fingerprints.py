@@ -35,12 +35,13 @@ SPAN = 12
 BUCKETS = 64
 EMPTY = 0xFFFF
 #: Bytes of text that a block is planned for, blocks at most, and sampled documents per block (they reach the driver).
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 8 << 20
 MOST_BLOCKS = 1 << 16
 SAMPLES = 8
 #: Code points hashed together.
-BATCH_POINTS = 1 << 20
+BATCH_POINTS = 1 << 18
 _RUN = 1 << 12
+_BLOCK = 1 << 14
 
 
 def _reduced(x: np.ndarray) -> np.ndarray:
@@ -51,6 +52,17 @@ def _reduced(x: np.ndarray) -> np.ndarray:
     return x - p * (x >= p)
 
 
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2^31 - 1 for reduced a and b."""
+    x = a * b
+    x = (x & np.uint64(PRIME)) + (x >> np.uint64(31))
+    return x - np.uint64(PRIME) * (x >= np.uint64(PRIME))
+
+
+def _difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a + np.uint64(PRIME) * (a < b) - b
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.ones(n, np.uint64)
     for i in range(1, n):
@@ -62,24 +74,36 @@ _POWERS = [_powers(b, _RUN + 1) for b in BASES]
 _INVERSE = [_powers(pow(b, -1, PRIME), _RUN + 1) for b in BASES]
 
 
+#: base^(k * _RUN), as far as spans have needed it.
+_HIGH = [[1] for _ in BASES]
+
+
+def _power(which: int, exponent: np.ndarray) -> np.ndarray:
+    """base^exponent from two small tables."""
+    high = _HIGH[which]
+    while len(high) <= int(exponent.max(initial=0)) // _RUN:
+        high.append(high[-1] * int(_POWERS[which][_RUN]) % PRIME)
+    return _reduced(_POWERS[which][exponent % _RUN] * np.array(high, np.uint64)[exponent // _RUN])
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """x modulo 2^31 - 1, up to a few multiples that the next step tolerates."""
+    return (x & np.uint64(PRIME)) + (x >> np.uint64(31))
+
+
 def _prefix_array(points: np.ndarray, which: int) -> np.ndarray:
     """h[i] is the hash of the first i code points: h[i + 1] = h[i] * base + point + 1."""
-    base = BASES[which]
     n = len(points)
-    runs = -(-n // _RUN)
-    padded = np.zeros(runs * _RUN, np.uint64)
-    padded[:n] = points.astype(np.uint64) + np.uint64(1)
-    rows = padded.reshape(runs, _RUN)
-    # Inside a run: the sum of point_j * base^-(j + 1), times base^i.
-    sums = _reduced(np.cumsum(_reduced(rows * _INVERSE[which][1:][None, :]), axis=1, dtype=np.uint64))
-    inner = _reduced(sums * _POWERS[which][1:][None, :])
-    starts = np.zeros(runs, np.uint64)
-    whole, carry = int(_POWERS[which][_RUN]), 0
-    for k, last in enumerate(inner[:, -1].tolist()):
-        starts[k] = carry
-        carry = (carry * whole + last) % PRIME
-    full = _reduced(inner + _reduced(starts[:, None] * _POWERS[which][1:][None, :]))
-    return np.concatenate([np.zeros(1, np.uint64), full.reshape(-1)[:n]])
+    out = np.zeros(n + 1, np.uint64)
+    powers, inverse = _POWERS[which][1:], _INVERSE[which][1:]
+    carry = 0
+    for at in range(0, n, _RUN):
+        run = points[at : at + _RUN].astype(np.uint64) + np.uint64(1)
+        # Inside a run: the sum of point_j * base^-(j + 1), plus what came before, times base^(i + 1).
+        sums = np.cumsum(_folded(run * inverse[: len(run)])) + np.uint64(carry)
+        out[at + 1 : at + 1 + len(run)] = h = _reduced(_folded(sums) * powers[: len(run)])
+        carry = int(h[-1])
+    return out
 
 
 def code_points(text: str) -> np.ndarray:
@@ -96,10 +120,7 @@ class Prefixes:
     def span(self, start, end) -> np.ndarray:
         """62-bit hashes of the spans [start, end); arrays of the same length, or numbers."""
         start, end = np.asarray(start, np.int64), np.asarray(end, np.int64)
-        parts = []
-        for base, h in zip(BASES, self.arrays):
-            power = _power(base, end - start)
-            parts.append(_reduced(h[end] + np.uint64(PRIME) - _reduced(h[start] * power)))
+        parts = [_difference(h[end], _product(h[start], _power(k, end - start))) for k, h in enumerate(self.arrays)]
         return (parts[0] << np.uint64(31)) | parts[1]
 
     def equal(self, start: int, other: Prefixes, at: int, length: int) -> bool:
@@ -118,20 +139,21 @@ class Prefixes:
         return low
 
 
-def _power(base: int, exponent: np.ndarray):
-    if exponent.ndim == 0:
-        return np.uint64(pow(base, int(exponent), PRIME))
-    distinct, inverse = np.unique(exponent, return_inverse=True)
-    return np.array([pow(base, int(e), PRIME) for e in distinct], np.uint64)[inverse]
-
-
-def rungs(most: int) -> np.ndarray:
-    """Lengths of the ladder up to ``most``: all up to eight, then eight per octave."""
+def _ladder(most: int) -> np.ndarray:
     out, step = list(range(1, 9)), 1
     while out[-1] <= most:
         out += [out[-1] + step * k for k in range(1, 9)]
         step *= 2
-    return np.array([x for x in out if x <= most], np.int64)
+    return np.array(out, np.int64)
+
+
+#: Lengths of the ladder: all up to eight, then eight per octave.
+RUNGS = _ladder(1 << 31)
+
+
+def rungs(most: int) -> np.ndarray:
+    """Lengths of the ladder up to ``most``."""
+    return RUNGS[: np.searchsorted(RUNGS, most, side="right")]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -163,18 +185,34 @@ class Prints:
 
     def _sketches(self) -> np.ndarray:
         """The smallest span hash of each class; a text shorter than a span is one span."""
-        out = np.full((len(self.sizes), BUCKETS), EMPTY, np.uint16)
-        counts = np.where(self.sizes == 0, 0, np.maximum(self.sizes - SPAN + 1, 1))
-        owner = np.repeat(np.arange(len(self.sizes)), counts)
-        if not len(owner):
-            return out
-        start = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(self.starts, counts)
-        end = start + np.repeat(np.minimum(self.sizes, SPAN), counts)
-        h = _mixed(self.prefixes.span(start, end))
-        cell = owner * BUCKETS + (h >> np.uint64(58)).astype(np.int64)
-        value = np.minimum((h >> np.uint64(42)) & np.uint64(0xFFFF), np.uint64(EMPTY - 1)).astype(np.uint16)
-        np.minimum.at(out.reshape(-1), cell, value)
-        return out
+        out = np.full(len(self.sizes) * BUCKETS, EMPTY, np.uint16)
+
+        def put(owner, h):
+            v = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)
+            cell = owner * BUCKETS + (v >> np.uint64(16)).astype(np.int64)
+            np.minimum.at(out, cell, np.minimum(v & np.uint64(0xFFFF), np.uint64(EMPTY - 1)).astype(np.uint16))
+
+        h = self.prefixes.arrays[0]
+        if self.prefixes.size >= SPAN:
+            owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+            for at in range(0, len(owner) - SPAN + 1, _BLOCK):  # blocks stay in the processor's cache
+                stop = min(at + _BLOCK, len(owner) - SPAN + 1)
+                inside = owner[at:stop] == owner[at + SPAN - 1 : stop + SPAN - 1]
+                spans = _difference(h[at + SPAN : stop + SPAN], _product(h[at:stop], _POWERS[0][SPAN]))
+                put(owner[at:stop][inside], spans[inside])
+        short = np.flatnonzero((self.sizes > 0) & (self.sizes < SPAN))
+        put(short, self.whole[short] >> np.uint64(31))
+        return out.reshape(-1, BUCKETS)
+
+    def same_start(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Code points on which texts one[k] and two[k] agree from their start: binary searches for longest common extensions."""
+        low, high = np.zeros(len(one), np.int64), np.minimum(self.sizes[one], self.sizes[two])
+        a, b = self.starts[one], self.starts[two]
+        while (open_ := low < high).any():
+            middle = (low + high + 1) // 2
+            same = self.prefixes.span(a, a + middle) == self.prefixes.span(b, b + middle)
+            low, high = np.where(open_ & same, middle, low), np.where(open_ & ~same, middle - 1, high)
+        return low
 
     def text(self, i: int) -> str:
         """Hexadecimal: length, whole hash, sketch, ladder."""
@@ -235,9 +273,11 @@ def _answers(rows: list[tuple], following: str) -> pa.RecordBatch:
     made = Prints([code_points(t) for t in [*texts, following, *changed]])
     n = len(rows)
     columns: list[list] = [[] for _ in range(9)]
+    own = np.arange(n)
+    same_edited, same_next = made.same_start(own, own + n + 1).tolist(), made.same_start(own, own + 1).tolist()
     for i, (doc_id, text, copies) in enumerate(rows):
         j = n + 1 + i
-        starts = [_common(made, i, k) for k in (j, i + 1)]
+        starts = (same_edited[i], same_next[i])
         row = (doc_id, len(text), hashlib.sha256(changed[i].encode()).hexdigest(), made.text(i), made.text(j), _like(made.parts(i), made.parts(j)), _like(made.parts(i), made.parts(i + 1)), *starts)
         for column, value in zip(columns, row):
             column += [value] * copies
@@ -245,21 +285,6 @@ def _answers(rows: list[tuple], following: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[f.split()[0] for f in RESULT.split(", ")])
 
 
-def _common(made: Prints, i: int, j: int) -> int:
-    """Code points on which two of the texts agree from their start: longest common extension of their first positions."""
-    p, a, b = made.prefixes, int(made.starts[i]), int(made.starts[j])
-    low, high = 0, int(min(made.sizes[i], made.sizes[j]))
-    if high and p.span(a, a + high) == p.span(b, b + high):
-        return high
-    while low < high:
-        middle = (low + high + 1) // 2
-        if p.span(a, a + middle) == p.span(b, b + middle):
-            low = middle
-        else:
-            high = middle - 1
-    return low
-
-
 def _streamed(batches):
     """Sorted rows (block, guest, doc_id, hash, copies, text) of whole blocks to result rows."""
     held: list[tuple] = []  # (doc_id, text, copies) of one block that wait for what follows
