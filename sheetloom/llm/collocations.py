@@ -32,8 +32,8 @@ from sheetloom.llm.store import Stored, new_path
 from sheetloom.llm.text import SALTS, filled, pieces
 
 LEAST, LONGEST, SHARDS, TOP = 10, 3, 4, 2000
-#: 8 MB: what a task holds per length.
-FILTER_BITS = 1 << 26
+#: 2 MB: what a task holds per length.
+FILTER_BITS = 1 << 24
 #: Tokens that a task counts at a time, and bytes of a long text that are split at a time.
 BUFFER = 1 << 20
 CUT = 1 << 20
@@ -132,9 +132,7 @@ def _buffer_counts(lang: str, words: list[bytes], sizes: list[int], filters: dic
     )
 
 
-def _counted(docs: DataFrame, sizes: list[int], filters: dict[int, Filter]) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast({n: f for n, f in filters.items() if n < max(sizes)})  # FILTER_BITS each
-
+def _counted(docs: DataFrame, sizes: list[int], sent) -> DataFrame:
     def run(batches):
         held: dict[str, list[bytes]] = {}
         size = 0
@@ -181,7 +179,8 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, s
         sizes = [n for n in range(1, longest + 1) if n - 1 <= tick < n * shards and (n == 1 or filters[n - 1].filled)]
         if not sizes:
             continue
-        seen = _counted(table.where(F.col("shard") == tick % shards), sizes, filters)
+        sent = spark.sparkContext.broadcast({n: f for n, f in filters.items() if n < max(sizes)})  # FILTER_BITS each
+        seen = _counted(table.where(F.col("shard") == tick % shards), sizes, sent)
         rows = seen.select("lang", "size", "phrase", F.lit(tick).alias("first"), F.lit(None).cast("long").alias("count"), F.lit(None).cast("int").alias("reached"), "c")
         if state is not None:
             rows = state.df.withColumn("c", F.lit(None).cast("long")).unionByName(rows)
@@ -191,6 +190,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, s
         merged = merged.withColumn("count", F.coalesce("count", F.lit(0)) + F.coalesce(more, F.lit(0)))
         merged = merged.withColumn("reached", F.coalesce("reached", F.when(F.col("count") >= least, F.lit(tick)))).select("lang", "size", "phrase", "first", "count", "reached")
         after = Stored(merged, f"tick{tick}")
+        sent.destroy()
         if state is not None:
             state.drop()
         state = after

@@ -70,10 +70,10 @@ def test_phrases_become_active_while_shorter_ones_are_counted(spark):
     first = {}
     real = op._counted
 
-    def watch(docs, sizes, filters):
+    def watch(docs, sizes, sent):
         for n in sizes:
             first.setdefault(n, []).append(1)
-        return real(docs, sizes, filters)
+        return real(docs, sizes, sent)
 
     docs = spark.createDataFrame([(i, "red green blue", "en") for i in range(400)], "doc_id long, text string, lang string")
     op._counted = watch
