@@ -162,9 +162,11 @@ def op11_collocations(spark, folder):
 # All phrases of one to three words counted at once.
 OP11 = r"""
 WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
-w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
-g AS MATERIALIZED (SELECT lang, m, array_to_string(ws[k:k + m - 1], ' ') AS phrase, count(*) AS f
-      FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS k FROM w, (VALUES (1), (2), (3)) AS s(m) WHERE len(ws) >= m) GROUP BY ALL),
+w AS (SELECT lang, row_number() OVER () AS piece_no, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+t AS (SELECT lang, piece_no, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w),
+u AS (SELECT lang, x, lead(x) OVER p AS y, lead(x, 2) OVER p AS z FROM t WINDOW p AS (PARTITION BY piece_no ORDER BY i)),
+g AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS f FROM (
+  SELECT lang, 1 AS m, x AS phrase FROM u UNION ALL SELECT lang, 2, x || ' ' || y FROM u WHERE y IS NOT NULL UNION ALL SELECT lang, 3, x || ' ' || y || ' ' || z FROM u WHERE z IS NOT NULL) a GROUP BY ALL),
 n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE m = 1 GROUP BY lang),
 c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM g WHERE m > 1 AND f >= 10),
 cuts AS (SELECT c.lang, c.m, c.phrase, a, k, array_to_string(ws[1:k], ' ') AS p, array_to_string(ws[k + 1:c.m], ' ') AS q FROM c, (VALUES (1), (2)) AS s(k) WHERE k < c.m),
