@@ -27,20 +27,19 @@ def fold_append(items: Column, state: Column, state_type: str, item_type: str, s
     A short array is folded directly.  A long one is taken in slices: within a slice
     the result is appended to directly, and finished slices are appended as one element each.
     """
-    inner = f"struct<s:{state_type},out:array<{item_type}>>"
-    outer = f"struct<s:{state_type},out:array<array<{item_type}>>>"
     none = F.array().cast(f"array<{item_type}>")
+    no_parts = F.array().cast(f"array<array<{item_type}>>")
 
+    # Only the new state and item are cast: a cast of the whole result would copy it item by item at every step.
     def one(a: Column, x: Column) -> Column:
         after, keep, item = step(a["s"], x)
-        more = F.when(keep, F.concat(a["out"], F.array(item).cast(f"array<{item_type}>"))).otherwise(a["out"])
-        return F.struct(after.alias("s"), more.alias("out")).cast(inner)
+        more = F.when(keep, F.concat(a["out"], F.array(item.cast(item_type)))).otherwise(a["out"])
+        return F.struct(after.cast(state_type).alias("s"), more.alias("out"))
 
     def part(a: Column, c: Column) -> Column:
-        start = F.struct(a["s"].alias("s"), none.alias("out")).cast(inner)
-        return let(F.aggregate(c, start, one), lambda r: F.struct(r["s"].alias("s"), F.concat(a["out"], F.array(r["out"])).alias("out")).cast(outer))
+        start = F.struct(a["s"].alias("s"), none.alias("out"))
+        return let(F.aggregate(c, start, one), lambda r: F.struct(r["s"].alias("s"), F.concat(a["out"], F.array(r["out"])).alias("out")))
 
-    short = lambda xs: F.aggregate(xs, F.struct(state.cast(state_type).alias("s"), none.alias("out")).cast(inner), one, lambda a: a["out"])
-    first = F.struct(state.cast(state_type).alias("s"), F.array().cast(f"array<array<{item_type}>>").alias("out")).cast(outer)
-    long = lambda xs: F.flatten(F.aggregate(chunks(xs), first, part, lambda a: a["out"]))
+    short = lambda xs: F.aggregate(xs, F.struct(state.cast(state_type).alias("s"), none.alias("out")), one, lambda a: a["out"])
+    long = lambda xs: F.flatten(F.aggregate(chunks(xs), F.struct(state.cast(state_type).alias("s"), no_parts.alias("out")), part, lambda a: a["out"]))
     return let(items, lambda xs: F.when(F.size(xs) <= CHUNK, short(xs)).otherwise(long(xs)))

@@ -18,37 +18,41 @@ SECTION = ["doc_id", "page_no", "section_no"]
 OPEN, CLOSE = "\u0001", "\u0002"
 
 
-def matches(text: Column, pattern: str, ignore_case: bool = True) -> Column:
-    """Array of (start, text) of all non-overlapping matches, left to right.
+FOUND = "struct<start:int,prio:int,neg_len:int,fmt:string,text:string>"
 
-    Matches are wrapped in two marks, the text is split at the marks, and the odd
-    parts are the matches; offsets are running part lengths.
-    """
-    clean = F.translate(text, OPEN + CLOSE, "��")
+
+def _split_at_matches(text: Column, pattern: str, ignore_case: bool) -> Column:
+    """Array of text between matches and matches in turn: matches are wrapped in two marks, the text is split at the marks."""
     flags = "(?iU)" if ignore_case else "(?U)"
-    parts = F.split(F.regexp_replace(clean, f"{flags}({pattern})", f"{OPEN}$1{CLOSE}"), f"[{OPEN}{CLOSE}]", -1)
-    state = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("i"))
+    return F.split(F.regexp_replace(text, f"{flags}({pattern})", f"{OPEN}$1{CLOSE}"), f"[{OPEN}{CLOSE}]", -1)
 
-    def step(a: Column, p: Column) -> tuple[Column, Column, Column]:
-        return F.struct((a["pos"] + F.length(p)).alias("pos"), (a["i"] + 1).alias("i")), a["i"] % 2 == 1, F.struct(a["pos"].alias("start"), p.alias("text"))
 
-    return fold_append(parts, state, "struct<pos:int,i:int>", "struct<start:int,text:string>", step)
+def _located(one: Column) -> Column:
+    """Matches of one format with their offsets, which are running part lengths; a step takes the text before a match and the match."""
+    parts = one["parts"]
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.floor(F.size(parts) / 2).cast("int") - 1),
+        lambda i: F.struct(F.length(F.get(parts, 2 * i)).alias("gap"), F.get(parts, 2 * i + 1).alias("text")),
+    )
 
+    def step(a: Column, p: Column) -> tuple[Column, Column, Column]:
+        start, size = a["pos"] + p["gap"], F.length(p["text"])
+        item = F.struct(start.alias("start"), one["prio"].alias("prio"), (-size).alias("neg_len"), one["fmt"].alias("fmt"), p["text"].alias("text"))
+        return F.struct((start + size).alias("pos")), F.lit(True), item
 
-def _tagged(found: Column, fmt: str) -> Column:
-    prio = fixed.NUMBER_PRIORITY.index(fmt)
-    return F.transform(
-        found,
-        lambda m: F.struct(
-            m["start"].alias("start"), F.lit(prio).alias("prio"), (-F.length(m["text"])).alias("neg_len"),
-            F.lit(fmt).alias("fmt"), m["text"].alias("text"),
-        ),
-    )
+    return fold_append(pairs, F.struct(F.lit(0).alias("pos")), "struct<pos:int>", FOUND, step)
 
 
 def candidate_array(text: Column, patterns: dict[str, str], ignore_case: bool = True) -> Column:
-    """All matches of all patterns as (start, prio, neg_len, fmt, text); prio is the fixed format order."""
-    return F.concat(*[_tagged(matches(text, p, ignore_case), fmt) for fmt, p in patterns.items()])
+    """All non-overlapping matches of each pattern as (start, prio, neg_len, fmt, text); prio is the fixed format order."""
+    clean = F.translate(text, OPEN + CLOSE, "\ufffd\ufffd")
+    each = F.array(
+        *[
+            F.struct(F.lit(fixed.NUMBER_PRIORITY.index(fmt)).alias("prio"), F.lit(fmt).alias("fmt"), _split_at_matches(clean, p, ignore_case).alias("parts"))
+            for fmt, p in patterns.items()
+        ]
+    )
+    return F.flatten(F.transform(F.filter(each, lambda one: F.size(one["parts"]) > 1), _located))
 
 
 def number_candidates(sections: DataFrame, patterns: dict[str, str] | None = None, ignore_case: bool = True) -> DataFrame:
