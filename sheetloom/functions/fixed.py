@@ -125,3 +125,18 @@ CURRENCIES = {"$": "USD", "€": "EUR", "£": "GBP", "¥": "JPY"}
 
 # Substrings that mark running text in a table cell.
 SENTENCE_WORDS = ["the", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by"]
+
+# Insights and advice over a whole corpus of comparisons, in the order they are given.
+CORPUS_INSIGHTS = {
+    "many_analyses": "High AI utilization suggests many complex sheets in dataset",
+    "few_analyses": "Low AI utilization suggests mostly simple sheets",
+    "disagreement": "High disagreement rate suggests need for threshold tuning",
+    "cost": "High per-analysis cost suggests large/complex sheets",
+    "ai_better": "AI frequently outperforms traditional methods",
+    "traditional_better": "Traditional methods often sufficient - consider raising AI thresholds",
+}
+CORPUS_ADVICE = {
+    "no_ai": "Enable AI analysis to collect comparison data",
+    "disagreements": "Analyze disagreement cases for test case generation",
+    "few_sheets": "Process more files to get statistically significant results",
+}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheetloom.functions import fixed
 from sheetloom.operators.routing import flags, one_row
 from sheetloom.schemas import SHEET
 
@@ -271,6 +272,33 @@ def insights(d: DataFrame) -> DataFrame:
     return d.withColumns({"insights": says, "tuning": advice})
 
 
+def corpus_insights(compared: DataFrame, decisions: DataFrame, ai_enabled: bool = True) -> DataFrame:
+    """One row of corpus counts with insights and advice, from two aggregates; ``compared`` has winner and agreement_score, sheets that are not routed to traditional methods alone count as analysed."""
+    used = F.col("decision") != "traditional_only"
+    n = decisions.agg(
+        F.count(F.lit(1)).alias("sheets"), F.count_if(used).alias("analyses"),
+        F.round(F.coalesce(F.sum(F.when(used, F.col("estimated_cost"))), F.lit(0.0)), 6).alias("cost"),
+    )
+    ai, traditional = F.col("winner").contains("ai"), F.col("winner").contains("traditional")
+    c = compared.agg(
+        F.count_if(F.col("agreement_score") > 0.7).alias("agreements"), F.count_if(F.col("agreement_score") < 0.3).alias("disagreements"),
+        F.count_if(ai).alias("ai_better"), F.count_if(traditional & ~ai).alias("traditional_better"),
+    )
+    share, each = F.col("analyses") / F.greatest("sheets", F.lit(1)), F.col("cost") / F.greatest("analyses", F.lit(1))
+    on = F.lit(ai_enabled)
+    found = {
+        "many_analyses": on & (share > 0.5), "few_analyses": on & (share < 0.2), "disagreement": F.col("disagreements") > F.col("agreements"),
+        "cost": on & (each > 0.1), "ai_better": F.col("ai_better") > F.col("traditional_better"), "traditional_better": F.col("traditional_better") > F.col("ai_better"),
+    }
+    todo = {"no_ai": ~on, "disagreements": on & (F.col("disagreements") > 3), "few_sheets": F.col("sheets") < 10}
+    return one_row(n, c).withColumns(
+        {
+            "insights": flags([(found[k], text) for k, text in fixed.CORPUS_INSIGHTS.items()]),
+            "advice": flags([(todo[k], text) for k, text in fixed.CORPUS_ADVICE.items()]),
+        }
+    )
+
+
 def comparison_rollup(d: DataFrame, order: list[str], last: int = 10) -> DataFrame:
     """Win rates over all comparisons and the mean agreement of the latest ones (a top-k, not a sort of everything)."""
     w = winner(d)

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from sheetloom.functions import fixed
 from sheetloom.operators import compare as op
 from sheetloom.operators import routing
 from sheetloom.plans import headers
@@ -128,6 +129,15 @@ query("insights", lambda t: op.insights(frame(t)).select(*SHEET, F.array_join("i
  CASE WHEN complexity_level = 'complex' AND traditional_count = 0 THEN 'Complex structure likely caused traditional method failure' END, CASE WHEN complexity_level = 'simple' AND ai_count = 0 THEN 'AI may have over-complicated a simple structure' END], lambda q: q IS NOT NULL), '; ') AS insights,
  array_to_string(list_filter([CASE WHEN ai_confidence < 0.5::DOUBLE THEN 'Consider adjusting AI confidence thresholds' END, CASE WHEN complexity_score > 0.5::DOUBLE AND agreement_score < 0.3::DOUBLE THEN 'Consider lowering complexity threshold for AI activation' END,
  CASE WHEN complexity_score < 0.3::DOUBLE AND ai_confidence < 0.7::DOUBLE THEN 'Consider raising complexity threshold to avoid unnecessary AI calls' END, CASE WHEN average_overlap < 0.5::DOUBLE THEN 'Consider improving boundary detection algorithms' END], lambda q: q IS NOT NULL), '; ') AS tuning FROM cmp""")
+CI, CA = fixed.CORPUS_INSIGHTS, fixed.CORPUS_ADVICE
+query("corpus_insights", lambda t: op.corpus_insights(op.winner(frame(t)), decisions(t)).withColumns({"insights": F.array_join("insights", "; "), "advice": F.array_join("advice", "; ")}), "dec win",
+      f"""SELECT *, array_to_string(list_filter([CASE WHEN analyses / greatest(sheets, 1) > 0.5::DOUBLE THEN '{CI["many_analyses"]}' END, CASE WHEN analyses / greatest(sheets, 1) < 0.2::DOUBLE THEN '{CI["few_analyses"]}' END,
+ CASE WHEN disagreements > agreements THEN '{CI["disagreement"]}' END, CASE WHEN cost / greatest(analyses, 1) > 0.1::DOUBLE THEN '{CI["cost"]}' END,
+ CASE WHEN ai_better > traditional_better THEN '{CI["ai_better"]}' END, CASE WHEN traditional_better > ai_better THEN '{CI["traditional_better"]}' END], lambda q: q IS NOT NULL), '; ') AS insights,
+ array_to_string(list_filter([CASE WHEN disagreements > 3 THEN '{CA["disagreements"]}' END, CASE WHEN sheets < 10 THEN '{CA["few_sheets"]}' END], lambda q: q IS NOT NULL), '; ') AS advice FROM
+ (SELECT count(*) AS sheets, count(*) FILTER (decision <> 'traditional_only') AS analyses, round(coalesce(sum(estimated_cost) FILTER (decision <> 'traditional_only'), 0), 6) AS cost FROM dec) a,
+ (SELECT count(*) FILTER (agreement_score > 0.7::DOUBLE) AS agreements, count(*) FILTER (agreement_score < 0.3::DOUBLE) AS disagreements, count(*) FILTER (contains(winner, 'ai')) AS ai_better,
+  count(*) FILTER (contains(winner, 'traditional') AND NOT contains(winner, 'ai')) AS traditional_better FROM win) b""")
 query("comparison_rollup", lambda t: op.comparison_rollup(frame(t), SHEET), "win",
       f"""SELECT count(*) AS total, round(avg(CAST(contains(winner, 'ai') AS INT)), 9) AS ai_rate, round(avg(CAST(contains(winner, 'traditional') AND NOT contains(winner, 'ai') AS INT)), 9) AS traditional_rate,
  round(avg(CAST(contains(winner, 'tie') AND NOT contains(winner, 'ai') AS INT)), 9) AS agreement_rate, (SELECT round(avg(agreement_score), 9) FROM (SELECT agreement_score FROM win ORDER BY workbook_id DESC, sheet_id DESC LIMIT 10) q) AS recent_agreement FROM win""")

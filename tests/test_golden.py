@@ -256,6 +256,18 @@ def test_insights_name_the_cost(spark):
     assert got == {1: ["1 sheets required AI-primary processing", "Average cost per sheet: $0.0250"], 2: ["All sheets were simple enough for traditional processing"]}
 
 
+def test_corpus_insights_and_advice(spark):
+    from sheetloom.operators import compare
+
+    compared = spark.createDataFrame([("ai", 0.1), ("ai", 0.2), ("unclear", 0.25), ("traditional", 0.29), ("tie_similar", 0.9)], "winner string, agreement_score double")
+    decisions = spark.createDataFrame([("dual", 0.5), ("dual", 0.5), ("traditional_only", 9.0)], "decision string, estimated_cost double")
+    row = compare.corpus_insights(compared, decisions).first()
+    assert (row.sheets, row.analyses, row.cost, row.agreements, row.disagreements, row.ai_better, row.traditional_better) == (3, 2, 1.0, 1, 4, 2, 1)
+    assert [x.split()[0] for x in row.insights] == ["High", "High", "High", "AI"] and [x.split()[0] for x in row.advice] == ["Analyze", "Process"]
+    row = compare.corpus_insights(compared.limit(0), decisions.limit(0), ai_enabled=False).first()
+    assert row.insights == [] and [x.split()[0] for x in row.advice] == ["Enable", "Process"]
+
+
 def test_escapes_survive_write_and_read(spark, tmp_path):
     import json
 
