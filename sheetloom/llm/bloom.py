@@ -13,6 +13,11 @@ class Filter:
     def __init__(self, bits: int):
         self.bits, self.words, self.filled = bits, np.zeros(bits >> 6, np.uint64), False
 
+    def copy(self) -> Filter:
+        other = Filter(64)
+        other.bits, other.words, other.filled = self.bits, self.words.copy(), self.filled
+        return other
+
     def has(self, hashes: np.ndarray) -> np.ndarray:
         """Whether each hash (uint64) may have been added; those added always have."""
         out = np.ones(len(hashes), bool)

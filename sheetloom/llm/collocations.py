@@ -8,14 +8,18 @@ is counted for one full cycle from then on, that is once in every shard, and the
 its count is exact.  So lengths interleave, and a phrase with a rare part is never
 counted at all.
 
-Which phrases are active is told to the tasks by one Bloom filter per length, of a
-fixed size and only ever added to.  A phrase that passes by mistake is counted for a
-full cycle as well, so its count is exact, too: mistakes cost time, never results.
-Where a vocabulary outgrows the filter, more passes; ``filter_bits`` is a parameter.
+Which phrases are active is told to the tasks by Bloom filters of what has reached
+the threshold, one per length, of a fixed size and only ever added to.  A tick has two
+states of them, the present one and that of one cycle before: a phrase is counted
+where its parts pass the present one and do not all pass the earlier one, so its cycle
+begins and ends by the same rule in every task.  A phrase that passes by mistake is
+counted for a full cycle as well, so mistakes cost time, never results.  Where a
+vocabulary outgrows the filter, more passes; ``filter_bits`` is a parameter.
 
 A task turns its texts into word numbers and counts phrases in numpy, a buffer of
-tokens at a time; Spark sums per (lang, phrase) and keeps count, first tick and the
-tick of reaching the threshold in a state table written once per tick.
+tokens at a time, and writes the counts of its tick.  After a tick Spark sums the
+counts by the hash of a phrase to find what has reached the threshold.  Phrases are
+summed as text once, at the end, those of too low a count left out before.
 """
 
 from __future__ import annotations
@@ -39,6 +43,8 @@ BUFFER = 1 << 20
 CUT = 1 << 20
 
 _TABLE = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
+COUNTS = "lang string, size int, hash long, phrase string, c long"
+COUNT_NAMES = ["lang", "size", "hash", "phrase", "c"]
 #: Between pieces; no UTF-8 text has this byte.
 BREAK = b"\xff"
 
@@ -69,67 +75,54 @@ def _word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
 
 
-def _phrase_hashes(phrases: DataFrame) -> DataFrame:
-    """Column ``hash`` of (lang, phrase) rows, as tasks compute it."""
+def _buffer_counts(lang: str, words: list[bytes], sizes: list[int], now: dict[int, Filter], before: dict[int, Filter]) -> list[pa.RecordBatch]:
+    """Rows COUNTS of the phrases in a buffer of tokens that are in their cycle."""
+    code, distinct = _numbered(pa.array(words, pa.binary()))
+    width, word_hash = len(distinct), _word_hashes(lang, distinct.to_pylist())
+    no_break = pc.not_equal(distinct, pa.scalar(BREAK, pa.binary())).to_numpy(zero_copy_only=False)
+    found = []
 
-    def run(batches):
-        for batch in batches:
-            langs, texts = (batch.column(i).to_pylist() for i in (0, 1))
-            found = np.zeros(len(langs), np.uint64)
-            split = [t.encode().split(b" ") for t in texts]
-            for n in range(max(map(len, split), default=0)):
-                rows = [i for i, ws in enumerate(split) if len(ws) > n]
-                one = np.fromiter((xxhash.xxh64_intdigest(split[i][n], xxhash.xxh64_intdigest(langs[i])) for i in rows), np.uint64, len(rows))
-                found[rows] = _joined(found[rows], one) if n else one
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["hash"])
-
-    return phrases.select("lang", "phrase").mapInArrow(run, "hash long")
-
-
-def _buffer_counts(lang: str, words: list[bytes], sizes: list[int], filters: dict[int, Filter]) -> pa.RecordBatch:
-    """(lang, size, phrase, c) of the active phrases in a buffer of tokens."""
-    index = {BREAK: 0}
-    code = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words))
-    distinct = pa.array(list(index), pa.binary())
-    phrases, counts, numbers = [], [], []
-
-    def emit(size, text, count):
-        phrases.append(text.cast(pa.string()))
-        counts.append(count)
-        numbers.append(np.full(len(count), size, np.int32))
+    def emit(size, text, hashes, count, mask):
+        n = int(mask.sum())
+        columns = [pa.array([lang] * n, pa.string()), pa.array(np.full(n, size, np.int32)), pa.array(hashes[mask].view(np.int64)), text.filter(pa.array(mask)).cast(pa.string()), pa.array(count[mask].astype(np.int64))]
+        found.append(pa.RecordBatch.from_arrays(columns, names=COUNT_NAMES))
 
     if 1 in sizes:
-        emit(1, distinct.slice(1), np.bincount(code, minlength=len(index))[1:])
-    if max(sizes) > 1:
-        word_hash = _word_hashes(lang, list(index))
-        # The phrase of each position at the present size, its hash and text, and whether it is active and reached.
+        emit(1, distinct, word_hash, np.bincount(code, minlength=width), no_break)
+    most = max(sizes)
+    if most > 1:
+        # By position: number of the phrase there at the present size, whether it may be extended, and whether it could a cycle before.
         gram, gram_hash, text = code, word_hash, distinct
-        reached = filters[1].has(word_hash)
-        reached[0] = False
-        live = reached[code]
-        for size in range(2, max(sizes) + 1):
-            live = live[:-1] & live[1:]
-            at = np.flatnonzero(live)
+        ok = now[1].has(word_hash) & no_break
+        live, past = ok[code], (ok & before[1].has(word_hash))[code]
+        for size in range(2, most + 1):
+            live, past = live[:-1] & live[1:], past[:-1] & past[1:]
+            at = np.flatnonzero(live & ~past if size == most else live)
             if not len(at):
                 break
-            pair = gram[at] * len(index) + code[at + size - 1]
-            pairs, inverse, count = np.unique(pair, return_inverse=True, return_counts=True)
-            head, tail = pairs // len(index), pairs % len(index)
+            inverse, pairs = _numbered(pa.array(gram[at] * width + code[at + size - 1]))
+            pairs = pairs.to_numpy()
+            head, tail = pairs // width, pairs % width
             gram_hash = _joined(gram_hash[head], word_hash[tail])
             text = pc.binary_join_element_wise(text.take(pa.array(head)), distinct.take(pa.array(tail)), b" ")
             if size in sizes:
-                emit(size, text, count)
-            if size < max(sizes):
+                count = np.bincount(inverse[~past[at]], minlength=len(pairs))
+                emit(size, text, gram_hash, count, count > 0)
+            if size < most:
                 gram = np.zeros(len(live), np.int64)
                 gram[at] = inverse
-                ok = filters[size].has(gram_hash)
-                live = live.copy()
-                live[at] = ok[inverse]
-    n = sum(map(len, counts))
-    return pa.RecordBatch.from_arrays(
-        [pa.array([lang] * n, pa.string()), pa.array(np.concatenate([*numbers, np.empty(0, np.int32)])), pa.concat_arrays([*phrases, pa.array([], pa.string())]), pa.array(np.concatenate([*counts, np.empty(0, np.int64)]).astype(np.int64))],
-        names=["lang", "size", "phrase", "c"],
-    )
+                ok = now[size].has(gram_hash)
+                done = ok & before[size].has(gram_hash)
+                further, past_further = np.zeros(len(live), bool), np.zeros(len(live), bool)
+                further[at], past_further[at] = ok[inverse], past[at] & done[inverse]
+                live, past = further, past_further
+    return pa.Table.from_batches(found, found[0].schema).combine_chunks().to_batches() if found else []
+
+
+def _numbered(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Number of each value, and the distinct values."""
+    coded = values.dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary
 
 
 def _counted(docs: DataFrame, sizes: list[int], sent) -> DataFrame:
@@ -142,11 +135,13 @@ def _counted(docs: DataFrame, sizes: list[int], sent) -> DataFrame:
                     held.setdefault(lang, []).extend(part)
                     size += len(part)
                     if size > BUFFER:
-                        yield from (_buffer_counts(k, v, sizes, sent.value) for k, v in held.items())
+                        for k, v in held.items():
+                            yield from _buffer_counts(k, v, sizes, *sent.value)
                         held, size = {}, 0
-        yield from (_buffer_counts(k, v, sizes, sent.value) for k, v in held.items())
+        for k, v in held.items():
+            yield from _buffer_counts(k, v, sizes, *sent.value)
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, size int, phrase string, c long")
+    return docs.select("lang", "text").mapInArrow(run, COUNTS)
 
 
 def _sharded(docs: DataFrame, shards: int) -> tuple[DataFrame, callable]:
@@ -160,7 +155,43 @@ def _sharded(docs: DataFrame, shards: int) -> tuple[DataFrame, callable]:
     return read, lambda: hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-STATE = "lang string, size int, phrase string, first int, count long, reached int"
+class _Counts:
+    """The counts that tasks have written, a folder a tick."""
+
+    def __init__(self, spark):
+        self.spark, self.path = spark, new_path(spark, "counts")
+
+    def write(self, rows: DataFrame, tick: int) -> None:
+        rows.write.parquet(f"{self.path}/tick={tick}")
+
+    @property
+    def df(self) -> DataFrame:
+        return self.spark.read.schema(f"{COUNTS}, tick int").parquet(self.path)
+
+    def reached(self, size: int, least: int) -> DataFrame:
+        """Hashes of the phrases that have reached the threshold, with the last tick that met them."""
+        sums = self.df.where(F.col("size") == size).groupBy("hash").agg(F.sum("c").alias("c"), F.max("tick").alias("tick"))
+        return sums.where(F.col("c") >= least).select("hash", "tick")
+
+    def drop(self) -> None:
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def _passing(rows: DataFrame, filters: dict[int, Filter]) -> DataFrame:
+    """(lang, size, phrase, c) of the rows whose phrase may have reached the threshold."""
+    sent = rows.sparkSession.sparkContext.broadcast(filters)  # FILTER_BITS each
+
+    def run(batches):
+        for batch in batches:
+            size, hashes = batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)
+            keep = np.zeros(batch.num_rows, bool)
+            for n, reached in sent.value.items():
+                of = np.flatnonzero(size == n)
+                keep[of] = reached.has(hashes[of])
+            yield batch.filter(pa.array(keep)).select(["lang", "size", "phrase", "c"])
+
+    return rows.select(*COUNT_NAMES).mapInArrow(run, "lang string, size int, phrase string, c long")
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shards: int = SHARDS, filter_bits: int = FILTER_BITS) -> tuple[Stored, DataFrame]:
@@ -170,51 +201,30 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, s
     """
     spark = docs.sparkSession
     table, drop = _sharded(docs, shards)
-    filters = {n: Filter(filter_bits) for n in range(1, longest)}
-    state: Stored | None = None
-    finished: list[Stored] = []
-    totals = None
+    filters = {n: Filter(filter_bits) for n in range(1, longest + 1)}
+    # What had reached the threshold at each tick, from one cycle before the first on.
+    history = [{n: f.copy() for n, f in filters.items()}] * shards
+    counts = _Counts(spark)
     for tick in range(longest * shards):
+        history.append({n: f.copy() for n, f in filters.items()})
+        before, history[tick] = history[tick], None
         # Phrases of a size are first seen after its parts could be reached, and all are done a cycle after the last of these.
         sizes = [n for n in range(1, longest + 1) if n - 1 <= tick < n * shards and (n == 1 or filters[n - 1].filled)]
         if not sizes:
             continue
-        sent = spark.sparkContext.broadcast({n: f for n, f in filters.items() if n < max(sizes)})  # FILTER_BITS each
-        seen = _counted(table.where(F.col("shard") == tick % shards), sizes, sent)
-        rows = seen.select("lang", "size", "phrase", F.lit(tick).alias("first"), F.lit(None).cast("long").alias("count"), F.lit(None).cast("int").alias("reached"), "c")
-        if state is not None:
-            rows = state.df.withColumn("c", F.lit(None).cast("long")).unionByName(rows)
-        merged = rows.groupBy("lang", "size", "phrase").agg(F.min("first").alias("first"), F.max("count").alias("count"), F.max("reached").alias("reached"), F.sum("c").alias("c"))
-        # A phrase that has had its cycle takes no more.
-        more = F.when(F.lit(tick) - F.col("first") < shards, F.coalesce("c", F.lit(0)))
-        merged = merged.withColumn("count", F.coalesce("count", F.lit(0)) + F.coalesce(more, F.lit(0)))
-        merged = merged.withColumn("reached", F.coalesce("reached", F.when(F.col("count") >= least, F.lit(tick)))).select("lang", "size", "phrase", "first", "count", "reached")
-        after = Stored(merged, f"tick{tick}")
+        sent = spark.sparkContext.broadcast([{n: state[n] for n in range(1, max(sizes))} for state in (filters, before)])  # FILTER_BITS each
+        counts.write(_counted(table.where(F.col("shard") == tick % shards), sizes, sent), tick)
         sent.destroy()
-        if state is not None:
-            state.drop()
-        state = after
         for n in sizes:
             if n < longest:
-                filters[n].add(_phrase_hashes(state.df.where((F.col("size") == n) & (F.col("reached") == tick))))
-            if tick == n * shards - 1:  # every phrase of this size has had its cycle
-                whole = state.df.where(F.col("size") == n)
-                if n == 1:
-                    totals = Stored(whole.groupBy("lang").agg(F.sum("count").alias("n")), "totals")
-                finished.append(Stored(whole.where(F.col("count") >= least).select("lang", "size", "phrase", "count"), f"size{n}"))
-                rest = Stored(state.df.where(F.col("size") != n), "state")
-                state.drop()
-                state = rest
-    if state is not None:
-        state.drop()
+                filters[n].add(counts.reached(n, least).where(F.col("tick") == tick))
     drop()
-    every = spark.createDataFrame([], "lang string, size int, phrase string, count long")
-    for done in finished:
-        every = every.unionByName(done.df)
-    counts = Stored(every, "phrases")
-    for done in finished:
-        done.drop()
-    return counts, totals.df if totals is not None else spark.createDataFrame([], "lang string, n long")
+    filters[longest].add(counts.reached(longest, least))
+    totals = Stored(counts.df.where("size = 1").groupBy("lang").agg(F.sum("c").alias("n")), "totals")
+    summed = _passing(counts.df, filters).groupBy("lang", "size", "phrase").agg(F.sum("c").alias("count"))
+    found = Stored(summed.where(F.col("count") >= least), "phrases")
+    counts.drop()
+    return found, totals.df
 
 
 def candidates(counts: DataFrame, longest: int = LONGEST) -> DataFrame:
