@@ -168,10 +168,15 @@ class _Counts:
     def df(self) -> DataFrame:
         return self.spark.read.schema(f"{COUNTS}, tick int").parquet(self.path)
 
-    def reached(self, size: int, least: int) -> DataFrame:
-        """Hashes of the phrases that have reached the threshold, with the last tick that met them."""
-        sums = self.df.where(F.col("size") == size).groupBy("hash").agg(F.sum("c").alias("c"), F.max("tick").alias("tick"))
-        return sums.where(F.col("c") >= least).select("hash", "tick")
+    def reached(self, size: int, least: int, late: int | None = None) -> DataFrame:
+        """Hashes of the phrases that have reached the threshold.
+
+        With ``late`` only those that this tick met: after the first cycle of a length few are, and they are looked up.
+        """
+        rows = self.df.where(F.col("size") == size).select("hash", "c", "tick")
+        if late is not None:
+            rows = rows.join(rows.where(F.col("tick") == late).select("hash").distinct(), "hash", "left_semi")
+        return rows.groupBy("hash").agg(F.sum("c").alias("c")).where(F.col("c") >= least).select("hash")
 
     def drop(self) -> None:
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -217,7 +222,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, s
         sent.destroy()
         for n in sizes:
             if n < longest:
-                filters[n].add(counts.reached(n, least).where(F.col("tick") == tick))
+                filters[n].add(counts.reached(n, least, tick if tick >= n - 1 + shards else None))
     drop()
     filters[longest].add(counts.reached(longest, least))
     totals = Stored(counts.df.where("size = 1").groupBy("lang").agg(F.sum("c").alias("n")), "totals")
