@@ -17,9 +17,10 @@ counted for a full cycle as well, so mistakes cost time, never results.  Where a
 vocabulary outgrows the filter, more passes; ``filter_bits`` is a parameter.
 
 A task turns its texts into word numbers and counts phrases in numpy, a buffer of
-tokens at a time, and writes the counts of its tick.  After a tick Spark sums the
-counts by the hash of a phrase to find what has reached the threshold.  Phrases are
-summed as text once, at the end, those of too low a count left out before.
+tokens at a time, and writes the counts of its tick under the hash of the phrase.
+After a tick Spark sums them to find what has reached the threshold.  The phrases so
+found get their text in one more scan, which sums the same occurrences under the text,
+so that phrases of one hash stay apart.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheetloom.llm.bloom import Filter
-from sheetloom.llm.store import Stored, new_path
+from sheetloom.llm.store import Stored, collect_shuffles, new_path
 from sheetloom.llm.text import SALTS, filled, pieces
 
 LEAST, LONGEST, SHARDS, TOP = 10, 3, 4, 2000
@@ -43,8 +44,8 @@ BUFFER = 1 << 20
 CUT = 1 << 20
 
 _TABLE = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
-COUNTS = "lang string, size int, hash long, phrase string, c long"
-COUNT_NAMES = ["lang", "size", "hash", "phrase", "c"]
+COUNTS = "size int, hash long, c long"
+TEXTS = "lang string, size int, phrase string, c long"
 #: Between pieces; no UTF-8 text has this byte.
 BREAK = b"\xff"
 
@@ -75,26 +76,41 @@ def _word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
 
 
-def _buffer_counts(lang: str, words: list[bytes], sizes: list[int], now: dict[int, Filter], before: dict[int, Filter]) -> list[pa.RecordBatch]:
-    """Rows COUNTS of the phrases in a buffer of tokens that are in their cycle."""
+def _batch(schema: str, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(columns), names=[f.split()[0] for f in schema.split(", ")])
+
+
+def _buffer_counts(lang: str, words: list[bytes], sizes: list[int], now: dict[int, Filter], before: dict[int, Filter] | None) -> list[pa.RecordBatch]:
+    """Rows COUNTS of the phrases in a buffer of tokens that are in their cycle.
+
+    Without ``before`` rows TEXTS of all phrases that pass, and one of size 0 with the number of words.
+    """
     code, distinct = _numbered(pa.array(words, pa.binary()))
     width, word_hash = len(distinct), _word_hashes(lang, distinct.to_pylist())
     no_break = pc.not_equal(distinct, pa.scalar(BREAK, pa.binary())).to_numpy(zero_copy_only=False)
     found = []
 
     def emit(size, text, hashes, count, mask):
+        if before is None:
+            mask = mask & now[size].has(hashes)
         n = int(mask.sum())
-        columns = [pa.array([lang] * n, pa.string()), pa.array(np.full(n, size, np.int32)), pa.array(hashes[mask].view(np.int64)), text.filter(pa.array(mask)).cast(pa.string()), pa.array(count[mask].astype(np.int64))]
-        found.append(pa.RecordBatch.from_arrays(columns, names=COUNT_NAMES))
+        sized, counted = pa.array(np.full(n, size, np.int32)), pa.array(count[mask].astype(np.int64))
+        if before is None:
+            found.append(_batch(TEXTS, pa.array([lang] * n, pa.string()), sized, text.filter(pa.array(mask)).cast(pa.string()), counted))
+        else:
+            found.append(_batch(COUNTS, sized, pa.array(hashes[mask].view(np.int64)), counted))
 
     if 1 in sizes:
         emit(1, distinct, word_hash, np.bincount(code, minlength=width), no_break)
+    if before is None:
+        found.append(_batch(TEXTS, pa.array([lang]), pa.array([0], pa.int32()), pa.array([""]), pa.array([int(no_break[code].sum())])))
     most = max(sizes)
     if most > 1:
         # By position: number of the phrase there at the present size, whether it may be extended, and whether it could a cycle before.
         gram, gram_hash, text = code, word_hash, distinct
+        past_of = lambda size, hashes: before[size].has(hashes) if before else np.zeros(len(hashes), bool)
         ok = now[1].has(word_hash) & no_break
-        live, past = ok[code], (ok & before[1].has(word_hash))[code]
+        live, past = ok[code], (ok & past_of(1, word_hash))[code]
         for size in range(2, most + 1):
             live, past = live[:-1] & live[1:], past[:-1] & past[1:]
             at = np.flatnonzero(live & ~past if size == most else live)
@@ -104,7 +120,8 @@ def _buffer_counts(lang: str, words: list[bytes], sizes: list[int], now: dict[in
             pairs = pairs.to_numpy()
             head, tail = pairs // width, pairs % width
             gram_hash = _joined(gram_hash[head], word_hash[tail])
-            text = pc.binary_join_element_wise(text.take(pa.array(head)), distinct.take(pa.array(tail)), b" ")
+            if before is None:
+                text = pc.binary_join_element_wise(text.take(pa.array(head)), distinct.take(pa.array(tail)), b" ")
             if size in sizes:
                 count = np.bincount(inverse[~past[at]], minlength=len(pairs))
                 emit(size, text, gram_hash, count, count > 0)
@@ -112,7 +129,7 @@ def _buffer_counts(lang: str, words: list[bytes], sizes: list[int], now: dict[in
                 gram = np.zeros(len(live), np.int64)
                 gram[at] = inverse
                 ok = now[size].has(gram_hash)
-                done = ok & before[size].has(gram_hash)
+                done = ok & past_of(size, gram_hash)
                 further, past_further = np.zeros(len(live), bool), np.zeros(len(live), bool)
                 further[at], past_further[at] = ok[inverse], past[at] & done[inverse]
                 live, past = further, past_further
@@ -126,6 +143,11 @@ def _numbered(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
 
 
 def _counted(docs: DataFrame, sizes: list[int], sent) -> DataFrame:
+    """The counts of a tick."""
+    return _scanned(docs, sizes, sent, COUNTS)
+
+
+def _scanned(docs: DataFrame, sizes: list[int], sent, schema: str) -> DataFrame:
     def run(batches):
         held: dict[str, list[bytes]] = {}
         size = 0
@@ -141,7 +163,7 @@ def _counted(docs: DataFrame, sizes: list[int], sent) -> DataFrame:
         for k, v in held.items():
             yield from _buffer_counts(k, v, sizes, *sent.value)
 
-    return docs.select("lang", "text").mapInArrow(run, COUNTS)
+    return docs.select("lang", "text").mapInArrow(run, schema)
 
 
 def _sharded(docs: DataFrame, shards: int) -> tuple[DataFrame, callable]:
@@ -168,37 +190,30 @@ class _Counts:
     def df(self) -> DataFrame:
         return self.spark.read.schema(f"{COUNTS}, tick int").parquet(self.path)
 
-    def reached(self, size: int, least: int, late: int | None = None) -> DataFrame:
-        """Hashes of the phrases that have reached the threshold.
-
-        With ``late`` only those that this tick met: after the first cycle of a length few are, and they are looked up.
-        """
-        rows = self.df.where(F.col("size") == size).select("hash", "c", "tick")
+    def reached(self, size: int, least: int, late: Filter | None = None) -> DataFrame:
+        """Hashes of the phrases that have reached the threshold, with ``late`` of those that pass it."""
+        rows = self.df.where(F.col("size") == size).select("hash", "c")
         if late is not None:
-            rows = rows.join(rows.where(F.col("tick") == late).select("hash").distinct(), "hash", "left_semi")
+            sent = self.spark.sparkContext.broadcast(late)  # FILTER_BITS
+
+            def run(batches):
+                for batch in batches:
+                    yield batch.filter(pa.array(sent.value.has(batch.column(0).to_numpy().view(np.uint64))))
+
+            rows = rows.mapInArrow(run, "hash long, c long")
         return rows.groupBy("hash").agg(F.sum("c").alias("c")).where(F.col("c") >= least).select("hash")
 
+    def met(self, size: int, tick: int, bits: int) -> Filter:
+        """The phrases of a tick."""
+        found = Filter(bits)
+        found.add(self.df.where((F.col("size") == size) & (F.col("tick") == tick)).select("hash"))
+        return found
+
     def drop(self) -> None:
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
         hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def _passing(rows: DataFrame, filters: dict[int, Filter]) -> DataFrame:
-    """(lang, size, phrase, c) of the rows whose phrase may have reached the threshold."""
-    sent = rows.sparkSession.sparkContext.broadcast(filters)  # FILTER_BITS each
-
-    def run(batches):
-        for batch in batches:
-            size, hashes = batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)
-            keep = np.zeros(batch.num_rows, bool)
-            for n, reached in sent.value.items():
-                of = np.flatnonzero(size == n)
-                keep[of] = reached.has(hashes[of])
-            yield batch.filter(pa.array(keep)).select(["lang", "size", "phrase", "c"])
-
-    return rows.select(*COUNT_NAMES).mapInArrow(run, "lang string, size int, phrase string, c long")
-
-
 def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shards: int = SHARDS, filter_bits: int = FILTER_BITS) -> tuple[Stored, DataFrame]:
     """Exact counts (lang, size, phrase, count) of all phrases of up to ``longest`` words with ``least`` occurrences, and (lang, n) of all words.
 
@@ -222,14 +237,19 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, s
         sent.destroy()
         for n in sizes:
             if n < longest:
-                filters[n].add(counts.reached(n, least, tick if tick >= n - 1 + shards else None))
-    drop()
+                # After the first cycle of a length few phrases are met, and only these are looked up.
+                filters[n].add(counts.reached(n, least, counts.met(n, tick, filter_bits) if tick >= n - 1 + shards else None))
+                collect_shuffles(spark)
     filters[longest].add(counts.reached(longest, least))
-    totals = Stored(counts.df.where("size = 1").groupBy("lang").agg(F.sum("c").alias("n")), "totals")
-    summed = _passing(counts.df, filters).groupBy("lang", "size", "phrase").agg(F.sum("c").alias("count"))
-    found = Stored(summed.where(F.col("count") >= least), "phrases")
     counts.drop()
-    return found, totals.df
+    collect_shuffles(spark)
+    sent = spark.sparkContext.broadcast([filters, None])  # FILTER_BITS each
+    summed = _scanned(table, list(filters), sent, TEXTS).groupBy("lang", "size", "phrase").agg(F.sum("c").alias("count"))
+    found = Stored(summed.where((F.col("count") >= least) | (F.col("size") == 0)), "phrases")
+    drop()
+    totals = found.df.where("size = 0 AND count > 0").select("lang", F.col("count").alias("n"))
+    found.df = found.df.where("size > 0")
+    return found, totals
 
 
 def candidates(counts: DataFrame, longest: int = LONGEST) -> DataFrame:
