@@ -82,7 +82,9 @@ query("run_bundle",
 def ingest(t):
     source, target = fresh(t, "arriving"), fresh(t, "ingested")
     t.sections.write.parquet(source)
-    flows.ingest_stream(t.spark, source, t.sections.schema, lambda d: numbers.resolve_overlaps(d).select(*ID, F.round("value", 9).alias("value"), "confidence"), target, fresh(t, "progress"), 4)
+    # A batch of four files for every core: fewer would leave cores idle while the last file of each batch runs.
+    files = 4 * t.spark.sparkContext.defaultParallelism
+    flows.ingest_stream(t.spark, source, t.sections.schema, lambda d: numbers.resolve_overlaps(d).select(*ID, F.round("value", 9).alias("value"), "confidence"), target, fresh(t, "progress"), files)
     return t.spark.read.parquet(target)
 
 
