@@ -1,9 +1,10 @@
 """A batch of arriving files keeps every core busy."""
 
+import importlib
+
 import pytest
 
-from sheetloom.plans import flows as plan
-from sheetloom.plans import load
+import __spark_entry__ as entry
 from sheetloom.plans.inputs import Inputs
 
 
@@ -12,7 +13,8 @@ class Seen(Exception):
 
 
 def test_a_batch_has_files_for_every_core(spark, monkeypatch):
-    load()
+    entry.queries()
+    plan = importlib.import_module("sheetloom.plans.flows")
 
     def look(*args):
         raise Seen(args[-1])
