@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetloom.llm.bpe import bpe_decode, bpe_encode
+from sheetloom.llm.bpe import bpe_round
 from sheetloom.llm.decontaminate import decontaminate
 from sheetloom.llm.language import identify, train
 from sheetloom.llm.line_dedup import LONG_WORDS, line_dedup
@@ -43,7 +43,10 @@ def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more) stays, the one with the smallest doc_id."""
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more) stays, the one with the smallest doc_id.
+
+    Pairs come from ball hashing of fingerprints and, beyond its radius, from a prefix filter; all are checked on whole sets.
+    """
     return without_similar(docs)
 
 
@@ -55,8 +58,7 @@ def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids (packed) and whether decoding gives the text back."""
-    path = vocabulary_path()
-    done = bpe_decode(bpe_encode(docs.select("doc_id", "text", "lang", "source"), path), path)
+    done = bpe_round(docs.select("doc_id", "text", "lang", "source"), vocabulary_path())
     return done.select("doc_id", "lang", "source", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
 
 

@@ -185,6 +185,22 @@ def bpe_decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded"
     return _mapped(df, ids, text, "string", lambda value: vocabulary(path).decode(value or b""))
 
 
+def bpe_round(docs: DataFrame, path: str) -> DataFrame:
+    """Append ``ids`` and ``decoded`` as bpe_encode and bpe_decode do, in one pass: a task needs one Python worker, not one for each."""
+    added = T.StructType.fromDDL("ids binary, decoded string")
+    schema = T.StructType([f for f in docs.schema.fields if f.name not in added.fieldNames()] + added.fields)
+
+    def run(batches):
+        words = vocabulary(path)
+        for batch in pieces(batches):
+            ids = [words.encode(value or "") for value in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            keep = [i for i, name in enumerate(batch.schema.names) if name not in added.fieldNames()]
+            made = [pa.array(ids, pa.binary()), pa.array(map(words.decode, ids), pa.string())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *made], names=[*(batch.schema.names[i] for i in keep), *added.fieldNames()])
+
+    return docs.mapInArrow(run, schema)
+
+
 def unpacked(ids: Column) -> Column:
     """Packed ids as an array of integers."""
     digits = F.hex(ids)
