@@ -50,6 +50,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     hashes = np.fromiter(
         (xxhash.xxh64_intdigest(b" ".join(words[i : i + size]), SEED) for i in range(len(words) - size + 1)), np.uint64, len(words) - size + 1
     )
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
     ones = np.zeros(BITS, np.int64)
     for part in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[part : part + (1 << 16)].astype(">u8").view(np.uint8)).reshape(-1, BITS).sum(0, dtype=np.int64)

@@ -1,7 +1,10 @@
-"""Near duplicates by exact similarity of five-word shingles, by prefix filtering.
+"""Near duplicates by exact similarity of five-word shingles, by ball hashing and prefix filtering.
 
-A text is the set of its five-word shingles; equal sets are one vertex.  With all
-shingles in one fixed order, two sets of similarity 0.8 or more share a shingle among
+A text is the set of its five-word shingles; equal sets are one vertex.  Ball hashing
+comes first: fingerprints of the sets that differ in three bits or fewer are linked by
+``simhash.links``, and the sets behind a link are a candidate pair.  At similarity 0.8
+two fingerprints differ in about ten bits, too many for its radius, so a prefix filter
+finds the pairs that are left.  With all shingles in one fixed order, two sets of similarity 0.8 or more share a shingle among
 the first fifth (plus one) of each, whatever the order is.  The order puts shingles
 that many documents hold last, so that a shared template or passage brings no
 documents together unless it makes up four fifths of them.  Which shingles those are
@@ -28,8 +31,8 @@ from pyspark.sql import functions as F
 
 from sheetloom.llm.bloom import Filter
 from sheetloom.llm.components import components
-from sheetloom.llm.simhash import keyed
-from sheetloom.llm.store import Stored
+from sheetloom.llm.simhash import keyed, links, majority
+from sheetloom.llm.store import Stored, collect_shuffles
 from sheetloom.llm.text import filled, pieces, set_apart
 
 SHINGLE = 5
@@ -37,9 +40,13 @@ SHINGLE = 5
 LEAST = (4, 5)
 #: Members of a group that gives pairs at once, and members of a block of a larger one.
 SMALL, TILE = 8, 256
+#: Shingles that a tile compares at a time.
+CHUNK = 2048
 #: One document in PART tells which shingles are frequent: those it shows in OFTEN documents.
 PART, OFTEN = 4, 3
 FILTER_BITS = 1 << 26
+#: Words whose hash a Python worker keeps.
+CACHE_WORDS = 1 << 16
 SEED = 42
 
 
@@ -47,7 +54,7 @@ class _Hashes(dict):
     """Hash of a word; filled as words come."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 18:
+        if len(self) >= CACHE_WORDS:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word, SEED)
         return h
@@ -135,15 +142,15 @@ def _counted(sets: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def vertices(texts: DataFrame) -> Stored:
-    """(digest, __id, __key, n, prefix) of every distinct set, with its first document."""
+    """(digest, __id, __key, n, print, prefix) of every distinct set, with its first document."""
     sent = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts))  # FILTER_BITS
 
     def sketch(text):
         hashes = shingles(text)
-        return xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - (1 << 63), len(hashes), prefix(hashes, sent.value).view(np.int64)
+        return xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - (1 << 63), len(hashes), majority(hashes) - (1 << 63), prefix(hashes, sent.value).view(np.int64)
 
-    sketches = _columns(texts, "__id long, __key long, digest long, n int, prefix array<long>", sketch)
-    least = sketches.groupBy("digest").agg(F.min(F.struct("__id", "__key", "n", "prefix")).alias("least"))
+    sketches = _columns(texts, "__id long, __key long, digest long, n int, print long, prefix array<long>", sketch)
+    least = sketches.groupBy("digest").agg(F.min(F.struct("__id", "__key", "n", "print", "prefix")).alias("least"))
     return Stored(least.select("digest", "least.*"), "vertices")
 
 
@@ -160,10 +167,10 @@ def _checked(pairs: DataFrame, vertices: DataFrame, texts: DataFrame) -> Stored:
     two = held.df.select(F.col("digest").alias("a"), F.col("hashes").alias("of_a"))
     both = wanted.df.join(one.hint("merge"), "b").join(two.hint("merge"), "a")
     shared = F.size(F.array_intersect("of_a", "of_b"))
-    links = Stored(both.where(_enough(shared, F.size("of_a"), F.size("of_b"))).select("a", "b"), "links")
+    found = Stored(both.where(_enough(shared, F.size("of_a"), F.size("of_b"))).select("a", "b"), "links")
     for done in (wanted, places, held):
         done.drop()
-    return links
+    return found
 
 
 def _fits(a, b):
@@ -171,6 +178,27 @@ def _fits(a, b):
     return _enough(F.least(a, b), a, b)
 
 
+def near_pairs(vertices: DataFrame) -> Stored:
+    """Pairs (a, b) of vertices by ball hashing of their fingerprints.
+
+    Vertices of one fingerprint are held against the first of them, linked fingerprints
+    by their first ones, so that no group gives all its pairs.
+    """
+    sets = vertices.select("print", "digest", "n")
+    first = Stored(sets.groupBy("print").agg(F.min(F.struct("digest", "n")).alias("first")), "prints")
+    # Flipping the sign bit of every fingerprint, as ``vertices`` does, keeps their distances.
+    found = Stored(links(first.df.select(F.col("print").alias("fingerprint"))).distinct(), "near prints")
+    of = lambda name: first.df.select(F.col("print").alias(name), F.col("first").alias(f"{name}_first"))
+    same = sets.join(of("print").hint("merge"), "print").select(F.struct("digest", "n").alias("x"), F.col("print_first").alias("y"))
+    near = found.df.join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b").select(F.col("a_first").alias("x"), F.col("b_first").alias("y"))
+    both = same.union(near).where((F.col("x.digest") != F.col("y.digest")) & _fits(F.col("x.n"), F.col("y.n")))
+    pairs = Stored(both.select(F.least("x.digest", "y.digest").alias("a"), F.greatest("x.digest", "y.digest").alias("b")), "near")
+    first.drop()
+    found.drop()
+    collect_shuffles(vertices.sparkSession)
+    return pairs
+
+
 def _small_pairs(rows: DataFrame) -> DataFrame:
     """Pairs (a, b) of small groups that share enough prefix shingles.
 
@@ -190,6 +218,32 @@ def _small_pairs(rows: DataFrame) -> DataFrame:
     return counted.where(F.col("c") >= least - F.least("large", "large_b")).select("a", "b")
 
 
+def _common(values: np.ndarray, owner: np.ndarray, probe: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Number of common values of each row in ``left`` and each in ``right``; ``owner`` tells the row of a value, ``probe`` the side of a row.
+
+    Values of one side only are left out, the others are columns of two 0/1 matrices, whose product counts them, CHUNK columns at a time.
+    """
+    place = np.empty(len(probe), np.int64)
+    place[left], place[right] = np.arange(len(left)), np.arange(len(right))
+    distinct, column = np.unique(values, return_inverse=True)
+    in_left = probe[owner]
+    both = (np.bincount(column[in_left], minlength=len(distinct)) > 0) & (np.bincount(column[~in_left], minlength=len(distinct)) > 0)
+    number = np.cumsum(both) - 1
+    kept = both[column]
+    column, row, in_left = number[column[kept]], place[owner[kept]], in_left[kept]
+    order = np.argsort(column, kind="stable")
+    column, row, in_left = column[order], row[order], in_left[order]
+    shared = np.zeros((len(left), len(right)), np.float32)  # whole numbers below 2^24
+    for at in range(0, int(both.sum()), CHUNK):
+        lo, hi = np.searchsorted(column, [at, at + CHUNK])
+        ones, twos = np.zeros((len(left), CHUNK), np.float32), np.zeros((len(right), CHUNK), np.float32)
+        part = in_left[lo:hi]
+        ones[row[lo:hi][part], column[lo:hi][part] - at] = 1
+        twos[row[lo:hi][~part], column[lo:hi][~part] - at] = 1
+        shared += ones @ twos.T
+    return shared
+
+
 def _tiles(open_: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Pairs (a, b) of large groups, of different components and with enough prefix shingles in common.
 
@@ -210,29 +264,17 @@ def _tiles(open_: DataFrame, prefixes: DataFrame) -> DataFrame:
         probe = table["probe"].to_numpy(zero_copy_only=False)
         digest, n, root = (table[c].to_numpy() for c in ("digest", "n", "root"))
         lists = table["prefix"].combine_chunks()
-        values, at = lists.flatten().to_numpy(), np.asarray(lists.value_lengths()).astype(np.int64)
-        owner = np.repeat(np.arange(len(at)), at)
-        out_a, out_b = [], []
+        values, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(n)), np.asarray(lists.value_lengths()).astype(np.int64))
         left, right = np.flatnonzero(probe), np.flatnonzero(~probe)
-        place = np.full(len(at), -1)
-        place[right] = np.arange(len(right))
-        order = np.argsort(values, kind="stable")
-        values, owner = values[order], owner[order]
-        starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-        stops = np.append(starts[1:], len(values))
-        shared = np.zeros((len(at), len(right)), np.int32)
-        for lo, hi in zip(starts.tolist(), stops.tolist()):
-            who = owner[lo:hi]
-            ones, twos = who[probe[who]], place[who[~probe[who]]]
-            if len(ones) and len(twos):
-                shared[np.ix_(ones, twos)] += 1
-        for i in left:
+        shared = _common(values, owner, probe, left, right)
+        out_a, out_b = [], []
+        for i, common_prefix in zip(left, shared):
             a, b = n[i].astype(np.int64), n[right].astype(np.int64)
             common = -(-(a + b) * LEAST[0] // sum(LEAST))
             size = lambda x: x - -(-x * LEAST[0] // LEAST[1]) + 1
             least = np.maximum(np.minimum(size(a) - (a - common), size(b) - (b - common)), 1)
             fits = np.minimum(a, b) * LEAST[1] >= np.maximum(a, b) * LEAST[0]
-            good = fits & (shared[i] >= least) & (root[i] != root[right])
+            good = fits & (common_prefix >= least) & (root[i] != root[right])
             out_a.append(np.minimum(digest[i], digest[right[good]]))
             out_b.append(np.maximum(digest[i], digest[right[good]]))
         none = np.empty(0, np.int64)
@@ -242,9 +284,10 @@ def _tiles(open_: DataFrame, prefixes: DataFrame) -> DataFrame:
 
 
 def similar(docs: DataFrame) -> tuple[Stored, Stored]:
-    """Vertices (digest, __id, __key of the first document with that set, n, prefix) and links (a, b) that connect them."""
+    """Vertices (digest, __id, __key of the first document with that set, n, print, prefix) and links (a, b) that connect them."""
     texts = keyed(docs.select("doc_id", "text")).select("__id", "__key", filled(F.col("text")).alias("text"))
     every = vertices(texts)
+    near = near_pairs(every.df)
     rows = every.df.select("digest", "n", F.posexplode("prefix").alias("pos", "hash"))
     groups = Stored(rows.groupBy("hash").agg(F.count("*").alias("m"), F.min(F.struct(F.col("pos") / F.col("n"), "digest", "n")).alias("centre")).where("m > 1"), "groups")
     shared = Stored(rows.join(groups.df.hint("merge"), "hash").select("hash", "digest", "n", "m", F.col("centre.digest").alias("centre"), F.col("centre.n").alias("n_centre")), "shared")
@@ -252,21 +295,21 @@ def similar(docs: DataFrame) -> tuple[Stored, Stored]:
     small = _small_pairs(shared.df.join(large.hint("merge"), "digest"))
     members = shared.df.where(F.col("m") > SMALL)
     stars = members.where((F.col("digest") != F.col("centre")) & _fits(F.col("n"), F.col("n_centre"))).select(F.least("centre", "digest").alias("a"), F.greatest("centre", "digest").alias("b"))
-    first = _checked(small.union(stars), every.df, texts)
+    first = _checked(small.union(stars).union(near.df), every.df, texts)
     labels = components(first.df)
     placed = Stored(members.join(labels.withColumnRenamed("vertex", "digest").hint("merge"), "digest", "left").select("hash", "digest", "n", F.coalesce("root", "digest").alias("root")), "placed")
     roots = placed.df.groupBy("hash", "root").agg(F.count("*").alias("size"))
     largest = Stored(roots.groupBy("hash").agg(F.max(F.struct("size", "root"))["root"].alias("largest"), F.count("*").alias("roots")).where("roots > 1").select("hash", "largest"), "largest")
     open_ = Stored(placed.df.join(largest.df.hint("merge"), "hash").select("hash", "digest", "n", "root", (F.col("root") != F.col("largest")).alias("stray")), "open")
-    links = first
+    connecting = first
     if not open_.df.isEmpty():
         second = _checked(_tiles(open_.df, every.df.select("digest", "prefix")), every.df, texts)
-        links = Stored(first.df.union(second.df), "links")
+        connecting = Stored(first.df.union(second.df), "links")
         first.drop()
         second.drop()
-    for done in (groups, shared, placed, largest, open_):
+    for done in (near, groups, shared, placed, largest, open_):
         done.drop()
-    return every, links
+    return every, connecting
 
 
 def without_similar(docs: DataFrame) -> DataFrame:
@@ -275,12 +318,12 @@ def without_similar(docs: DataFrame) -> DataFrame:
     Rows that repeat doc_id and text are one document.  Texts without words are one set.
     Columns of any name stay as they are; an empty table gives no rows.
     """
-    found, links = similar(docs)
-    labels = components(links.df)
+    found, connecting = similar(docs)
+    labels = components(connecting.df)
     rooted = found.df.join(labels.withColumnRenamed("vertex", "digest"), "digest", "left").select(F.coalesce("root", "digest").alias("root"), "__id", "__key")
     kept = Stored(rooted.groupBy("root").agg(F.min(F.struct("__id", "__key")).alias("first")).select("first.*"), "kept")
     found.drop()
-    links.drop()
+    connecting.drop()
     apart, back = set_apart(docs, "doc_id", "text")
     rows = keyed(apart).join(kept.df.hint("merge"), ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"])
     return back(rows)
