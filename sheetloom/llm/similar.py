@@ -1,7 +1,7 @@
 """Near duplicates by exact similarity of five-word shingles, by ball hashing and prefix filtering.
 
 A text is the set of its five-word shingles; equal sets are one vertex.  Ball hashing
-comes first: fingerprints of the sets that differ in three bits or fewer are linked by
+comes first: fingerprints of three-word shingles that differ in three bits or fewer are linked by
 ``simhash.links``, and the sets behind a link are a candidate pair.  At similarity 0.8
 two fingerprints differ in about ten bits, too many for its radius, so a prefix filter
 finds the pairs that are left.  With all shingles in one fixed order, two sets of similarity 0.8 or more share a shingle among
@@ -36,6 +36,8 @@ from sheetloom.llm.store import Stored, collect_shuffles
 from sheetloom.llm.text import filled, pieces, set_apart
 
 SHINGLE = 5
+#: Words of a shingle of a fingerprint, as in ``simhash``: a changed word changes fewer of them.
+PRINT_SHINGLE = 3
 #: Similarity of a link, as a fraction.
 LEAST = (4, 5)
 #: Members of a group that gives pairs at once, and members of a block of a larger one.
@@ -147,7 +149,7 @@ def vertices(texts: DataFrame) -> Stored:
 
     def sketch(text):
         hashes = shingles(text)
-        return xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - (1 << 63), len(hashes), majority(hashes) - (1 << 63), prefix(hashes, sent.value).view(np.int64)
+        return xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - (1 << 63), len(hashes), majority(shingles(text, PRINT_SHINGLE)) - (1 << 63), prefix(hashes, sent.value).view(np.int64)
 
     sketches = _columns(texts, "__id long, __key long, digest long, n int, print long, prefix array<long>", sketch)
     least = sketches.groupBy("digest").agg(F.min(F.struct("__id", "__key", "n", "print", "prefix")).alias("least"))

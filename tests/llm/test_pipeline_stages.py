@@ -38,7 +38,7 @@ def test_near_duplicates_meet_by_ball_hashing(spark, monkeypatch):
     near = real(every).df
     pairs = {tuple(r) for r in near.collect()}
     assert pairs and pairs <= checked[0]
-    prints = {i: majority(op.shingles(t)) for i, t in rows}
+    prints = {i: majority(op.shingles(t, 3)) for i, t in rows}
     label = reachable([prints[i] for i, _ in rows])
     digest = {r[0]: r[1] for r in every.select("digest", "__id").collect()}
     root = {digest[r.vertex]: r.root for r in components(near).collect()}
