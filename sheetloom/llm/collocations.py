@@ -18,7 +18,8 @@ vocabulary outgrows the filter, more passes; ``filter_bits`` is a parameter.
 
 A task turns its texts into word numbers and counts phrases in numpy, a buffer of
 tokens at a time, and writes the counts of its tick under the hash of the phrase.
-After a tick Spark sums them to find what has reached the threshold.  The phrases so
+After a tick Spark sums them to find what has reached the threshold; what is known to
+have reached it (or passes for it) is not written any more.  The phrases so
 found get their text in one more scan, which sums the same occurrences under the text,
 so that phrases of one hash stay apart.
 """
@@ -44,7 +45,8 @@ BUFFER = 1 << 20
 CUT = 1 << 20
 
 _TABLE = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
-COUNTS = "size int, hash long, c long"
+#: ``late``: the phrase may have begun its cycle after the first tick of its length.
+COUNTS = "size int, hash long, c long, late boolean"
 TEXTS = "lang string, size int, phrase string, c long"
 #: Between pieces; no UTF-8 text has this byte.
 BREAK = b"\xff"
@@ -80,36 +82,42 @@ def _batch(schema: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns), names=[f.split()[0] for f in schema.split(", ")])
 
 
-def _buffer_counts(lang: str, words: list[bytes], sizes: list[int], now: dict[int, Filter], before: dict[int, Filter] | None) -> list[pa.RecordBatch]:
-    """Rows COUNTS of the phrases in a buffer of tokens that are in their cycle.
+def _buffer_counts(lang: str, words: list[bytes], sizes: list[int], now: dict[int, Filter], before: dict[int, Filter] | None, first: Filter | None = None) -> list[pa.RecordBatch]:
+    """Rows COUNTS of the phrases in a buffer of tokens that are in their cycle and not yet known to have reached the threshold.
 
-    Without ``before`` rows TEXTS of all phrases that pass, and one of size 0 with the number of words.
+    ``first`` is the state of single words at the first tick of pairs.  Without ``before`` rows TEXTS of all phrases that pass, and one of size 0 with the number of words.
     """
     code, distinct = _numbered(pa.array(words, pa.binary()))
     width, word_hash = len(distinct), _word_hashes(lang, distinct.to_pylist())
     no_break = pc.not_equal(distinct, pa.scalar(BREAK, pa.binary())).to_numpy(zero_copy_only=False)
     found = []
 
-    def emit(size, text, hashes, count, mask):
-        if before is None:
-            mask = mask & now[size].has(hashes)
+    def emit(size, hashes, count, mask, late=None):
         n = int(mask.sum())
-        sized, counted = pa.array(np.full(n, size, np.int32)), pa.array(count[mask].astype(np.int64))
-        if before is None:
-            found.append(_batch(TEXTS, pa.array([lang] * n, pa.string()), sized, text.filter(pa.array(mask)).cast(pa.string()), counted))
-        else:
-            found.append(_batch(COUNTS, sized, pa.array(hashes[mask].view(np.int64)), counted))
+        late = np.ones(n, bool) if late is None else late[mask]
+        found.append(_batch(COUNTS, pa.array(np.full(n, size, np.int32)), pa.array(hashes[mask].view(np.int64)), pa.array(count[mask].astype(np.int64)), pa.array(late)))
 
+    def emit_texts(size, text, count):
+        found.append(_batch(TEXTS, pa.array([lang] * len(text), pa.string()), pa.array(np.full(len(text), size, np.int32)), text.cast(pa.string()), pa.array(count.astype(np.int64))))
+
+    known = now[1].has(word_hash) if 1 in now else np.zeros(width, bool)
     if 1 in sizes:
-        emit(1, distinct, word_hash, np.bincount(code, minlength=width), no_break)
+        count = np.bincount(code, minlength=width)
+        if before is None:
+            mask = known & no_break
+            emit_texts(1, distinct.filter(pa.array(mask)), count[mask])
+        else:
+            emit(1, word_hash, count, no_break & ~known)
     if before is None:
         found.append(_batch(TEXTS, pa.array([lang]), pa.array([0], pa.int32()), pa.array([""]), pa.array([int(no_break[code].sum())])))
     most = max(sizes)
     if most > 1:
         # By position: number of the phrase there at the present size, whether it may be extended, and whether it could a cycle before.
-        gram, gram_hash, text = code, word_hash, distinct
+        # ``text`` has the phrases that pass, ``place`` tells where.
+        gram, gram_hash, text, place = code, word_hash, distinct, np.arange(width)
         past_of = lambda size, hashes: before[size].has(hashes) if before else np.zeros(len(hashes), bool)
-        ok = now[1].has(word_hash) & no_break
+        ok = known & no_break
+        early = first.has(word_hash) if first else np.zeros(width, bool)
         live, past = ok[code], (ok & past_of(1, word_hash))[code]
         for size in range(2, most + 1):
             live, past = live[:-1] & live[1:], past[:-1] & past[1:]
@@ -120,15 +128,18 @@ def _buffer_counts(lang: str, words: list[bytes], sizes: list[int], now: dict[in
             pairs = pairs.to_numpy()
             head, tail = pairs // width, pairs % width
             gram_hash = _joined(gram_hash[head], word_hash[tail])
+            known = now[size].has(gram_hash) if size in now else np.zeros(len(pairs), bool)
+            count = np.bincount(inverse[~past[at]], minlength=len(pairs))
             if before is None:
-                text = pc.binary_join_element_wise(text.take(pa.array(head)), distinct.take(pa.array(tail)), b" ")
-            if size in sizes:
-                count = np.bincount(inverse[~past[at]], minlength=len(pairs))
-                emit(size, text, gram_hash, count, count > 0)
+                text = pc.binary_join_element_wise(text.take(pa.array(place[head[known]])), distinct.take(pa.array(tail[known])), b" ")
+                place = np.cumsum(known) - 1
+                emit_texts(size, text, count[known])
+            elif size in sizes:
+                emit(size, gram_hash, count, (count > 0) & ~known, ~(early[head] & early[tail]) if size == 2 else None)
             if size < most:
                 gram = np.zeros(len(live), np.int64)
                 gram[at] = inverse
-                ok = now[size].has(gram_hash)
+                ok = known
                 done = ok & past_of(size, gram_hash)
                 further, past_further = np.zeros(len(live), bool), np.zeros(len(live), bool)
                 further[at], past_further[at] = ok[inverse], past[at] & done[inverse]
@@ -190,10 +201,10 @@ class _Counts:
     def df(self) -> DataFrame:
         return self.spark.read.schema(f"{COUNTS}, tick int").parquet(self.path)
 
-    def reached(self, size: int, least: int, late: Filter | None = None) -> DataFrame:
-        """Hashes of the phrases that have reached the threshold, with ``late`` of those that pass it."""
-        rows = self.df.where(F.col("size") == size).select("hash", "c")
-        if late is not None:
+    def reached(self, size: int, least: int, since: int = 0, late: Filter | bool = False) -> DataFrame:
+        """Hashes of the phrases that have reached the threshold by the ticks from ``since`` on, with ``late`` of those marked late or those that pass it."""
+        rows = self.df.where((F.col("size") == size) & (F.col("tick") >= since) & (F.col("late") if late is True else F.lit(True))).select("hash", "c")
+        if isinstance(late, Filter):
             sent = self.spark.sparkContext.broadcast(late)  # FILTER_BITS
 
             def run(batches):
@@ -224,7 +235,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, s
     filters = {n: Filter(filter_bits) for n in range(1, longest + 1)}
     # What had reached the threshold at each tick, from one cycle before the first on.
     history = [{n: f.copy() for n, f in filters.items()}] * shards
-    counts = _Counts(spark)
+    counts, first = _Counts(spark), None
     for tick in range(longest * shards):
         history.append({n: f.copy() for n, f in filters.items()})
         before, history[tick] = history[tick], None
@@ -232,13 +243,16 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, s
         sizes = [n for n in range(1, longest + 1) if n - 1 <= tick < n * shards and (n == 1 or filters[n - 1].filled)]
         if not sizes:
             continue
-        sent = spark.sparkContext.broadcast([{n: state[n] for n in range(1, max(sizes))} for state in (filters, before)])  # FILTER_BITS each
+        if tick == 1:
+            first = filters[1].copy()
+        sent = spark.sparkContext.broadcast([*({n: state[n] for n in range(1, max(sizes))} for state in (filters, before)), first])  # FILTER_BITS each
         counts.write(_counted(table.where(F.col("shard") == tick % shards), sizes, sent), tick)
         sent.destroy()
         for n in sizes:
             if n < longest:
-                # After the first cycle of a length few phrases are met, and only these are looked up.
-                filters[n].add(counts.reached(n, least, counts.met(n, tick, filter_bits) if tick >= n - 1 + shards else None))
+                # After the first cycle of a length few phrases are met, and only these are looked up; all their counts lie within a cycle.
+                late = tick >= n - 1 + shards and (n == 2 or counts.met(n, tick, filter_bits))
+                filters[n].add(counts.reached(n, least, max(0, tick - shards + 1), late))
                 collect_shuffles(spark)
     filters[longest].add(counts.reached(longest, least))
     counts.drop()

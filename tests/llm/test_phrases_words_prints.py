@@ -63,6 +63,23 @@ def test_collocations_of_nothing(empty):
     assert collocations(empty).count() == 0
 
 
+def test_known_phrases_are_not_counted_again():
+    """Counts are written of phrases that have not reached the threshold yet; pairs of early words are not late."""
+    from sheetloom.llm import collocations as op
+
+    every, none = op.Filter(64), op.Filter(64)
+    every.words[:] = np.uint64(2**64 - 1)
+    words = [b"a", b"b", b"c"] * 20 + [op.BREAK]
+
+    def rows(now, first):
+        return [r for b in op._buffer_counts("en", words, [1, 2, 3], now, {1: none, 2: none}, first) for r in b.to_pylist()]
+
+    assert sorted((r["size"], r["c"], r["late"]) for r in rows({1: every, 2: every}, every)) == [(3, 19, True), (3, 19, True), (3, 20, True)]
+    for first, late in ((every, False), (none, True)):
+        assert sorted((r["c"], r["late"]) for r in rows({1: every, 2: none}, first)) == [(19, late), (20, late), (20, late)]
+    assert [r["c"] for r in rows({1: none, 2: none}, None)] == [20, 20, 20]
+
+
 def test_phrases_become_active_while_shorter_ones_are_counted(spark):
     """With every phrase frequent in each shard, two-word phrases start at the second tick, three-word ones at the third."""
     from sheetloom.llm import collocations as op
