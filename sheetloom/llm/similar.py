@@ -17,6 +17,8 @@ Vertices that share a prefix shingle form its group.
   reaches the shared shingle first.  Where that does not make the group one component, the
   members outside the largest component meet the others block by block in tiles,
   which compare prefixes densely and give only the pairs with enough in common.
+  A pair is given once, by the first open group that holds both, and only if the parity
+  bitmaps of the whole sets leave it possible (bits that differ stand for shingles that do).
 All pairs that are left are checked on their whole sets, so no link is lost and
 none is made below 0.8.
 """
@@ -88,6 +90,31 @@ def prefix(hashes: np.ndarray, frequent: Filter) -> np.ndarray:
     return hashes[np.argsort(frequent.has(hashes), kind="stable")[: prefix_size(len(hashes))]] if len(hashes) else hashes
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """Bitmap (uint64) of the set, two bits or more for each hash: a bit is set where an odd number of hashes fall.
+
+    Where two bitmaps of one size differ, the sets differ: the number of such bits is at
+    most the number of hashes in one set only.
+    """
+    bits = 64
+    while bits < 2 * len(hashes):
+        bits *= 2
+    odd = np.bincount((hashes >> np.uint64(32)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
+def least_differing(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Hashes in one of two sets only, at least, by their bitmaps; the larger bitmap is folded to the size of the other."""
+    found = np.zeros(len(others), np.int64)
+    sizes = np.array([len(x) for x in others], np.int64)
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        least = min(size, len(one))
+        fold = lambda x: np.bitwise_xor.reduce(x.reshape(len(x), -1, least), axis=1)  # noqa: B023, E731
+        found[at] = np.bitwise_count(fold(np.stack([others[k] for k in at])) ^ fold(one[None])).sum(1)
+    return found
+
+
 def _columns(docs: DataFrame, schema: str, columns) -> DataFrame:
     """mapInArrow over (__id, __key, text); ``columns`` makes the values of the further columns from one text."""
     made = docs.sparkSession.createDataFrame([], schema).schema
@@ -144,15 +171,15 @@ def _counted(sets: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def vertices(texts: DataFrame) -> Stored:
-    """(digest, __id, __key, n, print, prefix) of every distinct set, with its first document."""
+    """(digest, __id, __key, n, print, prefix, parity) of every distinct set, with its first document."""
     sent = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts))  # FILTER_BITS
 
     def sketch(text):
         hashes = shingles(text)
-        return xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - (1 << 63), len(hashes), majority(shingles(text, PRINT_SHINGLE)) - (1 << 63), prefix(hashes, sent.value).view(np.int64)
+        return xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - (1 << 63), len(hashes), majority(shingles(text, PRINT_SHINGLE)) - (1 << 63), prefix(hashes, sent.value).view(np.int64), parity(hashes).tobytes()
 
-    sketches = _columns(texts, "__id long, __key long, digest long, n int, print long, prefix array<long>", sketch)
-    least = sketches.groupBy("digest").agg(F.min(F.struct("__id", "__key", "n", "print", "prefix")).alias("least"))
+    sketches = _columns(texts, "__id long, __key long, digest long, n int, print long, prefix array<long>, parity binary", sketch)
+    least = sketches.groupBy("digest").agg(F.min(F.struct("__id", "__key", "n", "print", "prefix", "parity")).alias("least"))
     return Stored(least.select("digest", "least.*"), "vertices")
 
 
@@ -246,37 +273,51 @@ def _common(values: np.ndarray, owner: np.ndarray, probe: np.ndarray, left: np.n
     return shared
 
 
-def _tiles(open_: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of large groups, of different components and with enough prefix shingles in common.
+def _tiles(open_: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs (a, b) of large groups, of different components, with enough prefix shingles in common and bitmaps that are near enough.
 
-    ``open_`` has (hash, digest, n, root, stray) of the members of groups with strays.
-    Every block with strays meets every block of its group in a tile of its own.
+    ``open_`` has (hash, digest, n, root, stray) of the members of groups with strays, ``sketches`` (digest, prefix, parity).
+    Every block with strays meets every block of its group in a tile of its own.  A pair
+    comes from the group of the smallest open hash that both have, and from one of its two tiles.
     """
     sizes = Stored(open_.groupBy("hash").agg((F.floor((F.count("*") - 1) / TILE) + 1).cast("int").alias("blocks"), (F.floor((F.count_if("stray") - 1) / TILE) + 1).cast("int").alias("stray_blocks")), "sizes")
     rows = open_.join(sizes.df.hint("merge"), "hash")
     block = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
     stray_block = F.pmod(F.xxhash64("digest"), F.col("stray_blocks")).cast("int")
-    columns = lambda one, two: ["hash", one.alias("one"), two.alias("two"), "digest", "n", "root"]
+    columns = lambda one, two: ["hash", one.alias("one"), two.alias("two"), "digest", "n", "root", "stray"]
     probes = rows.where("stray").withColumn("at", stray_block).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(*columns(F.col("at"), F.col("other")), F.lit(True).alias("probe"))
     members = rows.withColumn("at", block).withColumn("other", F.explode(F.expr("sequence(0, stray_blocks - 1)"))).select(*columns(F.col("other"), F.col("at")), F.lit(False).alias("probe"))
-    placed = Stored(probes.unionByName(members).join(prefixes.hint("merge"), "digest"), "tiles")
+    hashes = open_.groupBy("digest").agg(F.collect_set("hash").alias("hashes"))
+    ends = Stored(sketches.join(hashes.hint("merge"), "digest"), "open sets")
+    placed = Stored(probes.unionByName(members).join(ends.df.hint("merge"), "digest"), "tiles")
     sizes.drop()
+    ends.drop()
 
-    def compare(table: pa.Table) -> pa.Table:
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        hash_ = key[0].as_py()
+        stray = table["stray"].to_numpy(zero_copy_only=False)
+        bitmaps = [np.frombuffer(x, "<u8") for x in table["parity"].to_pylist()]
         probe = table["probe"].to_numpy(zero_copy_only=False)
         digest, n, root = (table[c].to_numpy() for c in ("digest", "n", "root"))
         lists = table["prefix"].combine_chunks()
         values, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(n)), np.asarray(lists.value_lengths()).astype(np.int64))
         left, right = np.flatnonzero(probe), np.flatnonzero(~probe)
         shared = _common(values, owner, probe, left, right)
+        lists = table["hashes"].combine_chunks()
+        values, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(n)), np.asarray(lists.value_lengths()).astype(np.int64))
+        earlier = _common(values[values < hash_], owner[values < hash_], probe, left, right)
         out_a, out_b = [], []
-        for i, common_prefix in zip(left, shared):
+        for i, common_prefix, met_before in zip(left, shared, earlier):
             a, b = n[i].astype(np.int64), n[right].astype(np.int64)
             common = -(-(a + b) * LEAST[0] // sum(LEAST))
             size = lambda x: x - -(-x * LEAST[0] // LEAST[1]) + 1
             least = np.maximum(np.minimum(size(a) - (a - common), size(b) - (b - common)), 1)
             fits = np.minimum(a, b) * LEAST[1] >= np.maximum(a, b) * LEAST[0]
-            good = fits & (common_prefix >= least) & (root[i] != root[right])
+            good = fits & (common_prefix >= least) & (root[i] != root[right]) & (met_before == 0) & (~stray[right] | (digest[i] < digest[right]))
+            at = np.flatnonzero(good)
+            # Of a + b shingles ``apart`` at least are in one set only, half of the others are common.
+            apart = least_differing(bitmaps[i], [bitmaps[k] for k in right[at]])
+            good[at] = (a + b[at] - apart) * sum(LEAST) >= (a + b[at]) * 2 * LEAST[0]
             out_a.append(np.minimum(digest[i], digest[right[good]]))
             out_b.append(np.maximum(digest[i], digest[right[good]]))
         none = np.empty(0, np.int64)
@@ -305,7 +346,7 @@ def similar(docs: DataFrame) -> tuple[Stored, Stored]:
     open_ = Stored(placed.df.join(largest.df.hint("merge"), "hash").select("hash", "digest", "n", "root", (F.col("root") != F.col("largest")).alias("stray")), "open")
     connecting = first
     if not open_.df.isEmpty():
-        second = _checked(_tiles(open_.df, every.df.select("digest", "prefix")), every.df, texts)
+        second = _checked(_tiles(open_.df, every.df.select("digest", "prefix", "parity")), every.df, texts)
         connecting = Stored(first.df.union(second.df), "links")
         first.drop()
         second.drop()

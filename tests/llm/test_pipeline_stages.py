@@ -59,6 +59,51 @@ def test_common_values_of_a_tile(monkeypatch):
     assert (found == [[len(set(sets[i]) & set(sets[j])) for j in right] for i in left]).all()
 
 
+def test_bitmaps_bound_the_difference():
+    from sheetloom.llm import similar as op
+
+    rng = np.random.default_rng(6)
+    for size in (0, 1, 40, 700):
+        one = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+        others = [np.unique(np.concatenate([one[rng.random(len(one)) < share], rng.integers(0, 2**63, more).astype(np.uint64)])) for share in (0.0, 0.5, 0.9, 1.0) for more in (0, 3, 900)]
+        found = op.least_differing(op.parity(one), [op.parity(x) for x in others])
+        exact = [len(np.setxor1d(one, x)) for x in others]
+        assert all(found <= exact) and found[-3] == 0
+        assert all(f >= 0.6 * e for f, e, x in zip(found, exact, others) if len(x) <= 1.25 * len(one) and len(one) <= 1.25 * len(x))
+
+
+def test_tiles_give_a_pair_once(spark, monkeypatch):
+    """However many shingles two texts share; pairs of one template that are not similar are not given at all."""
+    from sheetloom.llm import similar as op
+    from tests.llm.test_queries import kept_of_similar
+
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(4000)]
+    base = [rng.choice(words) for _ in range(400)]
+    # Five families of near copies, whose bases share just under the similarity of a link.
+    rows = []
+    for family in range(5):
+        text = base[:340] + [rng.choice(words) for _ in range(60)]
+        for _ in range(12):
+            own = list(text)
+            own[rng.randrange(400)] = rng.choice(words)
+            rows.append((len(rows), " ".join(own)))
+    seen = []
+    real = op._tiles
+
+    def watch(*a):
+        pairs = op.Stored(real(*a), "seen").df
+        seen.extend(tuple(r) for r in pairs.collect())
+        return pairs
+
+    monkeypatch.setattr(op, "_tiles", watch)
+    monkeypatch.setattr(op, "near_pairs", lambda v: op.Stored(v.select(v.digest.alias("a"), v.digest.alias("b")).where("false"), "near"))
+    monkeypatch.setattr(op, "TILE", 16)
+    found = op.without_similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {r.doc_id for r in found.collect()} == kept_of_similar(rows)
+    assert len(seen) == len(set(seen)) < 5 * 12 * 11
+
+
 def test_tokens_take_one_python_pass(spark):
     """Two chained passes keep two Python workers for every task."""
     docs = spark.createDataFrame([(1, "Some text, 2 words ²", "en", "a"), (2, None, "en", "b"), (3, "", "en", "c")], "doc_id long, text string, lang string, source string")
