@@ -65,7 +65,8 @@ def cands(t):
 
 
 def with_context(t):
-    return cands(t).withColumn("context", op.number_context(F.col("content"), F.col("start"), F.col("text")))
+    d = op.number_candidates(t.sections.withColumn("blanks", op.other_blanks(F.col("content"))))
+    return d.withColumn("context", op.number_context(F.col("content"), F.col("start"), F.col("text"), blanks=F.col("blanks")))
 
 
 query("number_candidates", lambda t: cands(t).select(*ID), "cand", f"SELECT {C} FROM cand")
