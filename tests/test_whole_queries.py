@@ -6,6 +6,7 @@ import io
 import pytest
 
 import __spark_entry__ as entry
+from sheetloom.plans.inputs import Inputs
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -20,3 +21,8 @@ def plan(df):
 @pytest.mark.parametrize("name", ["split_paragraphs", "sections", "section_type", "section_attrs", "toc", "document_summary", "quality_scores"])
 def test_sections_are_made_of_the_texts(name, spark):
     assert "posexplode(split(text" in plan(entry.queries()[name](spark, FOLDER))
+
+
+def test_words_one_space_apart_are_one_cell(spark):
+    words, cells = Inputs(spark, FOLDER).words, entry.queries()["line_cells"](spark, FOLDER)
+    assert cells.count() < words.count() / 10 and cells.filter("text like '% %'").count() > 0
